@@ -1,0 +1,126 @@
+"""Count-min sketches over a corpus: partition sketches, merged, as 'seen twice' bits.
+
+Only whether a key was counted at least twice is asked, so cells saturate at 2.  A
+task sends the cells it touched; tasks that each own a range of cells merge them
+and return two bits' worth of the count as one bit per cell.  The width follows the
+expected number of keys up to ``MOST_BITS``, which bounds what is collected and
+broadcast (``ROWS * 2 ** MOST_BITS / 8`` bytes = 64 MB).  Beyond that the sketch
+lets more keys pass; it never loses one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame
+
+ROWS = 2
+MOST_BITS = 28
+LEAST_BITS = 16
+RANGE_BITS = 20  # cells in one range, merged as one array
+FLUSH = 2_000_000  # cells a task holds before it sends them
+
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64, on uint64 arrays."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def width_bits(keys: float) -> int:
+    """Four cells for each expected key, within the bounds."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1.0, 4 * keys))))))
+
+
+def cells(keys: np.ndarray, bits: int, row: int) -> np.ndarray:
+    return (mix(keys * _ODD[row]) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+class Partial:
+    """Sketch of one task: feed distinct keys of one item at a time."""
+
+    def __init__(self, bits: int):
+        self.bits, self.parts, self.size = bits, [], 0
+
+    def add(self, keys: np.ndarray):
+        self.parts.append(keys)
+        self.size += len(keys)
+
+    def full(self) -> bool:
+        return self.size >= FLUSH
+
+    def rows(self):
+        """(range of cells, touched cells, counts capped at 2), then empty."""
+        if not self.size:
+            return
+        keys = np.concatenate(self.parts)
+        self.parts, self.size = [], 0
+        step = np.int64(1) << min(RANGE_BITS, self.bits)
+        for row in range(ROWS):
+            at, n = np.unique(cells(keys, self.bits, row), return_counts=True)
+            edges = np.flatnonzero(np.diff(at // step, prepend=-1))
+            for i, j in zip(edges, np.append(edges[1:], len(at))):
+                name = int(row << 32 | int(at[i] // step))
+                yield name, (at[i:j] % step).astype("<u4").tobytes(), np.minimum(n[i:j], 2).astype(np.uint8).tobytes()
+
+
+SCHEMA = "cells long, at binary, n binary"
+
+
+def batch(rows):
+    import pyarrow as pa
+
+    rows = list(rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
+        names=["cells", "at", "n"],
+    )
+
+
+def merge(parts: DataFrame, bits: int) -> "Twice":
+    """Merge partial sketches by range of cells; collect one bit per cell."""
+    step = 1 << min(RANGE_BITS, bits)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for name, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                total = held.get(name)
+                if total is None:
+                    total = held[name] = np.zeros(step, np.uint8)
+                cell = np.frombuffer(at, "<u4")
+                total[cell] = np.minimum(total[cell] + np.frombuffer(n, np.uint8), 2)
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int64()), pa.array([np.packbits(t >= 2, bitorder="little").tobytes() for t in held.values()], pa.binary())],
+                names=["cells", "bits"],
+            )
+
+    ranges = ROWS << max(0, bits - RANGE_BITS)
+    tables = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
+    merged = parts.repartition(min(64, ranges), "cells").mapInArrow(run, "cells long, bits binary")
+    for name, got in merged.collect():
+        part = np.frombuffer(bytes(got), np.uint8)
+        first = (name & 0xFFFFFFFF) * step // 8
+        tables[name >> 32][first : first + len(part)] = part
+    return Twice(bits, tables)
+
+
+class Twice:
+    """Whether a key may have been counted twice."""
+
+    def __init__(self, bits: int, tables: list[np.ndarray]):
+        self.bits, self.tables = bits, tables
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out = np.ones(len(keys), bool)
+        for row, table in enumerate(self.tables):
+            c = cells(keys, self.bits, row)
+            out &= (table[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+        return out

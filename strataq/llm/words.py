@@ -1,0 +1,60 @@
+"""Word hashing shared by the operators on word windows."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import xxhash
+
+words_of = re.compile(rb"[^\x20\x09-\x0D]+").findall
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class WordHash(dict):
+    """word (bytes) -> 64-bit hash; emptied when large."""
+
+    def __missing__(self, w: bytes) -> int:
+        if len(self) > 600_000:
+            self.clear()
+        out = self[w] = xxhash.xxh3_64_intdigest(w)
+        return out
+
+
+_hash = WordHash()
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter([_hash[w] for w in words], np.uint64, len(words))
+
+
+def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for i, base in enumerate((BASE, INVERSE)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _powers[i] = np.cumprod(p, dtype=np.uint64)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def windows(values: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hash modulo 2**64 of every ``size`` consecutive values."""
+    n = len(values)
+    if n < size:
+        return np.zeros(0, np.uint64)
+    up, down = _upto(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:n], dtype=np.uint64)])
+    return (total[size:] - total[:-size]) * down[: n - size + 1]
+
+
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """Smallest of every ``size`` consecutive values, by doubling."""
+    out, have = values, 1
+    while have < size:
+        step = min(have, size - have)
+        out = np.minimum(out[:-step], out[step:])
+        have += step
+    return out
