@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from strataq.llm import bpe, packing
+from strataq.llm import bpe, fingerprint, licenses, packing, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
+        "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_bpe": bpe.op4_bpe,
+        "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
+        "op7_substrings": substrings.op7_substrings,
+        "op9_quality": quality.op9_quality,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_licenses": licenses.op5_sql(), "op7_substrings": substrings.op7_sql()}
