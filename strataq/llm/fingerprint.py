@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 32
-CELLS = 4096
+CELLS, R_CELLS = 4096, 256
 RANGE_ROWS = 256  # documents in a range of ids
 MOST_RANGES = 16_384  # literal starts of ranges in the plan; ranges grow beyond
 TASK_ROWS = 2_000  # documents in a task
@@ -52,20 +52,30 @@ def gamma2_quantiles(p: np.ndarray) -> np.ndarray:
 def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, ln c, and ln c inside the lowest cell, at the middle of each cell."""
     p = (np.arange(CELLS) + 0.5) / CELLS
-    q = gamma2_quantiles(p)
-    return q, np.log(q), np.log(gamma2_quantiles(p / CELLS))
+    r = gamma2_quantiles((np.arange(R_CELLS) + 0.5) / R_CELLS)
+    return r, np.log(gamma2_quantiles(p)), np.log(gamma2_quantiles(p / CELLS))
 
 
 def _sample(j: int, literals, h: str = "h", ln_w: str = "ln_w"):
-    """``ln a`` of sample ``j``; null for a null term.  ``literals``: the tables."""
+    """``ln a`` of sample ``j``; null for a null term.  ``literals``: the tables.
+
+    Two samples share a 64-bit hash, 32 bits each: 12 for c, 8 for r, 12 for b; the
+    place inside the lowest cell of c comes from the other half.
+    """
     r_table, c_table, low_table = literals
-    x = F.xxhash64(F.col(h), F.lit(j))
-    cell = x.bitwiseAND(CELLS - 1)
-    next12 = F.shiftright(x, 12).bitwiseAND(CELLS - 1).cast("int")
-    ln_c = F.when(cell == 0, F.get(low_table, next12)).otherwise(F.get(c_table, cell.cast("int")))
-    r = F.get(r_table, F.shiftright(x, 24).bitwiseAND(CELLS - 1).cast("int"))
-    b = F.shiftrightunsigned(x, 36).cast("double") / float(2**28)
-    return ln_c - r * (F.floor(F.col(ln_w) / r + b) - b + 1)
+    x = F.xxhash64(F.col(h), F.lit(j // 2))
+    at = 32 * (j % 2)
+
+    def bits(first: int, mask: int):
+        return (F.shiftright(x, first) if first else x).bitwiseAND(mask).cast("int")
+
+    cell, other = bits(at, CELLS - 1), bits(32 - at, CELLS - 1)
+    ln_c = F.when(cell == 0, F.get(low_table, other)).otherwise(F.get(c_table, cell))
+    r = F.get(r_table, bits(at + 12, R_CELLS - 1))
+    b = (bits(at + 20, 4095).cast("double") + 0.5) / 4096.0
+    # a weight of 1 has ln w = 0, hence t = 0
+    t = F.when(F.col(ln_w) == 0, F.lit(0.0)).otherwise(F.floor(F.col(ln_w) / r + b).cast("double"))
+    return F.when(F.col(h).isNotNull(), ln_c - r * (t - b + 1.0))
 
 
 def range_of(key, starts: list[int]):

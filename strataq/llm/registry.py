@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strataq.llm import bpe, fingerprint, licenses, packing, quality, substrings, toxicity
+from strataq.llm import bpe, embeddings, fingerprint, jaccard, licenses, packing, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_jaccard": jaccard.op1_jaccard,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_fingerprint": fingerprint.op3_fingerprint,
         "op4_bpe": bpe.op4_bpe,
@@ -14,8 +15,14 @@ def queries() -> dict:
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
         "op9_quality": quality.op9_quality,
+        "op10_embeddings": embeddings.op10_embeddings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_licenses": licenses.op5_sql(), "op7_substrings": substrings.op7_sql()}
+    return {
+        "op1_jaccard": jaccard.op1_sql(),
+        "op5_licenses": licenses.op5_sql(),
+        "op7_substrings": substrings.op7_sql(),
+        "op10_embeddings": embeddings.op10_sql(),
+    }

@@ -81,8 +81,9 @@ def batch(rows):
     )
 
 
-def merge(parts: DataFrame, bits: int) -> "Twice":
-    """Merge partial sketches by range of cells; collect one bit per cell."""
+def merge(parts: DataFrame, bits: int, flags: list | None = None) -> "Twice":
+    """Merge partial sketches by range of cells; collect one bit per cell.  A row of
+    the range -1 carries no cells and is noted in ``flags``."""
     step = 1 << min(RANGE_BITS, bits)
 
     def run(batches):
@@ -91,6 +92,9 @@ def merge(parts: DataFrame, bits: int) -> "Twice":
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for name, at, n in zip(*(c.to_pylist() for c in b.columns)):
+                if name < 0:
+                    held[name] = np.zeros(8, np.uint8)
+                    continue
                 total = held.get(name)
                 if total is None:
                     total = held[name] = np.zeros(step, np.uint8)
@@ -106,6 +110,9 @@ def merge(parts: DataFrame, bits: int) -> "Twice":
     tables = [np.zeros((1 << bits) // 8, np.uint8) for _ in range(ROWS)]
     merged = parts.repartition(min(64, ranges), "cells").mapInArrow(run, "cells long, bits binary")
     for name, got in merged.collect():
+        if name < 0:
+            flags.append(True)
+            continue
         part = np.frombuffer(bytes(got), np.uint8)
         first = (name & 0xFFFFFFFF) * step // 8
         tables[name >> 32][first : first + len(part)] = part
