@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataq.llm import bpe, embeddings, fingerprint, jaccard, licenses, packing, quality, substrings, toxicity
+from strataq.llm import bpe, embeddings, extraction, fingerprint, jaccard, licenses, packing, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_licenses": licenses.op5_licenses,
         "op6_packing": packing.op6_packing,
         "op7_substrings": substrings.op7_substrings,
+        "op8_html": extraction.op8_html,
         "op9_quality": quality.op9_quality,
         "op10_embeddings": embeddings.op10_embeddings,
     }
