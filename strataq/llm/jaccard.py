@@ -266,6 +266,16 @@ def links(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     return close, classes
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class and component_id of every row."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    nodes = cut(_nodes(rows))
+    _, classes = links(rows)
+    placed = nodes.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
+    least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    return placed.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links).
 
@@ -273,12 +283,22 @@ def join(docs: DataFrame) -> DataFrame:
     a null id get a null component if alone and never name one; repeated rows stay
     repeated; an empty table gives no rows; further columns are not read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = cut(_nodes(rows))
-    _, classes = links(rows)
-    placed = nodes.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
-    least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return _placed(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each component, the one of the smallest id, with all its columns.
+
+    Rows without words and rows with a null id stay.  Of rows that share an id one
+    stays for each id that names a component.
+    """
+    columns = docs.columns
+    named = docs.filter("doc_id IS NOT NULL")
+    stay = _placed(named).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
+    kept = named.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "inner")
+    if not stay.filter("__rows > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.select(*columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

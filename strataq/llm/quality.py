@@ -181,6 +181,23 @@ def score_table(docs: DataFrame, model: Neighbours, keep: list[str] = ["doc_id"]
     return rows.mapInArrow(run, schema)
 
 
+def good(docs: DataFrame, model: Neighbours) -> DataFrame:
+    """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        gc.disable()
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                yield part.filter(pa.array(shared.value.score(part.column(text).to_pylist()) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every whole text of ``documents``."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
