@@ -196,7 +196,7 @@ class SegmentWriter:
     def _count(self, chunks: DataFrame) -> None:
         m = self.metrics
         for r in chunks.groupBy("encoding_id").agg(
-            F.count("*").alias("n"), F.sum("encoded_size").alias("b"), F.sum("plain_size").alias("p"), F.count_if("chosen_id <> encoding_id").alias("f")
+            F.count("*").alias("n"), F.sum("encoded_size").alias("b"), F.sum("plain_size").alias("p"), F.count_if(F.col("chosen_id") != F.col("encoding_id")).alias("f")
         ).collect():
             m.encoding_counts[r["encoding_id"]] = r["n"]
             m.chunks += r["n"]
