@@ -18,23 +18,31 @@ import gc
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import sketch
-from strataq.llm.words import hashes, sliding_min, windows, words_of
+from strataq.llm.wordbatch import Words, slices, sliding_min, windows
 
 WINDOW, GRAM = 50, 8
 
 
-def _document(text: str | None) -> tuple[list[bytes], np.ndarray]:
-    words = words_of((text or "").encode("utf-8", "surrogatepass"))
-    return words, hashes(words) if len(words) >= WINDOW else np.zeros(0, np.uint64)
+def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text with one anchor: (first window, text, anchor),
+    with a last run of text -1 where the windows end."""
+    owner = words.owner(WINDOW)
+    if not len(owner):
+        return np.zeros(1, np.int64), np.full(1, -1), np.zeros(1, np.uint64)
+    anchor = sliding_min(sketch.mix(windows(words.values, GRAM)), WINDOW - GRAM + 1)
+    first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
+    return np.append(first, len(owner)), np.append(owner[first], -1), np.append(anchor[first], np.uint64(0))
 
 
-def _anchors(values: np.ndarray) -> np.ndarray:
-    """Anchor of every window."""
-    return sliding_min(sketch.mix(windows(values, GRAM)), WINDOW - GRAM + 1)
+def _distinct(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Places of the first of each pair (text, key)."""
+    return np.unique(sketch.mix(keys + sketch.mix(owner.astype(np.uint64))), return_index=True)[1]
 
 
 def _sketch(rows: DataFrame, chars: int) -> sketch.Twice:
@@ -45,80 +53,114 @@ def _sketch(rows: DataFrame, chars: int) -> sketch.Twice:
         gc.disable()
         mine = sketch.Partial(bits)
         for b in batches:
-            for text in b.column(0):
-                _, values = _document(text.as_py())
-                if len(values):
-                    mine.add(np.unique(_anchors(values)))
-                    if mine.full():
-                        yield sketch.batch(mine.rows())
+            for start, stop in slices(b.column(0)):
+                _, owner, anchor = _anchors(Words(b.column(0)[start:stop]))
+                own = owner >= 0
+                owner, anchor = owner[own], anchor[own]
+                mine.add(anchor[_distinct(anchor, owner)])
+                if mine.full():
+                    yield sketch.batch(mine.rows())
         if mine.size:
             yield sketch.batch(mine.rows())
 
     return sketch.merge(rows.select("text").mapInArrow(run, sketch.SCHEMA), bits)
 
 
-def dedup(docs: DataFrame, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, with ``texts``, the kept text.
-
-    Null text: no words.  Fewer than 50 words: nothing is removed.  A null id is
-    smaller than none and larger than none: such rows are kept whole and remove
-    nothing.  Rows that share an id are one document for the comparison and stay
-    separate rows; an empty table gives no rows; further columns are not read.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _later(rows: DataFrame) -> DataFrame:
+    """(doc_id, hs): hashes of the windows of a document that start in an earlier one."""
     named = rows.filter("doc_id IS NOT NULL")
     chars = named.agg(F.sum(F.length("text"))).first()[0] or 0
     twice = rows.sparkSession.sparkContext.broadcast(_sketch(named, int(chars)))
 
     def suspects(batches):
-        import pyarrow as pa
-
         gc.disable()
         for b in batches:
-            ids, found = [], []
-            for doc_id, text in zip(b.column(0), b.column(1)):
-                _, values = _document(text.as_py())
-                if len(values):
-                    own, at = np.unique(_anchors(values), return_inverse=True)
-                    hit = np.unique(windows(values, WINDOW)[twice.value(own)[at]])
-                    if len(hit):
-                        ids.append(np.full(len(hit), doc_id.as_py(), np.int64))
-                        found.append(hit)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["h", "doc_id"]
-                )
+            for start, stop in slices(b.column(1)):
+                words = Words(b.column(1)[start:stop])
+                first, owner, anchor = _anchors(words)
+                on = (owner >= 0) & twice.value(anchor)
+                length = np.diff(first, append=first[-1])
+                place = np.flatnonzero(np.repeat(on, length))
+                if len(place):
+                    h, text = windows(words.values, WINDOW)[place], np.repeat(owner, length)[place]
+                    at = _distinct(h, text)
+                    ids = b.column(0)[start:stop].to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[text[at]])], names=["h", "doc_id"])
 
     seen = named.mapInArrow(suspects, "h long, doc_id long")
     first = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
-    later = seen.join(first, "h").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
+    return seen.join(first, "h").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+
+
+def _without(texts: pa.Array, hs: pa.Array):
+    """(words, removed words, kept words joined by a space) of every text."""
+    for start, stop in slices(texts):
+        words = Words(texts[start:stop])
+        n = np.diff(words.edges)
+        kept = pc.binary_join(pa.ListArray.from_arrays(pa.array(words.edges.astype(np.int32)), words.flat), " ").to_pylist()
+        gone = np.zeros(len(n), np.int64)
+        mine = hs[start:stop]
+        for i in np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False) & (n >= WINDOW)).tolist():
+            values = words.values[words.edges[i] : words.edges[i + 1]]
+            hit = np.isin(windows(values, WINDOW), mine[i].values.to_numpy().view(np.uint64))
+            edge = np.zeros(len(values) + 1, np.int32)
+            edge[: len(hit)] += hit
+            edge[WINDOW : WINDOW + len(hit)] -= hit
+            stays = np.cumsum(edge[:-1]) == 0
+            gone[i] = len(values) - stays.sum()
+            kept[i] = " ".join(words.of(i).filter(pa.array(stays)).to_pylist())
+        yield from zip(n.tolist(), gone.tolist(), kept)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and the SHA-256 of the kept words.
 
-    def remove(batches):
-        import pyarrow as pa
+    Null text: no words.  Fewer than 50 words: nothing is removed.  A null id is
+    smaller than none and larger than none: such rows are kept whole and remove
+    nothing.  Rows that share an id are one document for the comparison and stay
+    separate rows; an empty table gives no rows; further columns are not read.
+    """
+    rows = _rows(docs)
 
+    def run(batches):
+        gc.disable()
+        for b in batches:
+            n, gone, kept = (list(x) for x in zip(*_without(b.column(1), b.column(2)))) if b.num_rows else ([], [], [])
+            shas = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(shas, pa.string())],
+                names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+            )
+
+    both = rows.join(_later(rows), "doc_id", "left").select("doc_id", "text", "hs")
+    return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` without the repeated passages: texts that lose words are their kept
+    words joined by one space, other texts stay as they are; ``n_chars``, if there,
+    follows the text."""
+    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    later = _later(_rows(docs)).withColumnRenamed("doc_id", "__id").withColumnRenamed("hs", "__hs")
+    both = docs.join(later, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__hs")
+
+    def run(batches):
         gc.disable()
         for b in batches:
-            out = []
-            for doc_id, text, hs in zip(*(c for c in b.columns)):
-                words = words_of((text.as_py() or "").encode("utf-8", "surrogatepass"))
-                n = len(words)
-                if hs.is_valid and n >= WINDOW:
-                    gone = np.isin(windows(hashes(words), WINDOW), hs.values.to_numpy().view(np.uint64))
-                    edge = np.zeros(n + 1, np.int32)
-                    edge[: len(gone)] += gone
-                    edge[WINDOW : WINDOW + len(gone)] -= gone
-                    covered = np.cumsum(edge[:n]) > 0
-                    words = [w for w, c in zip(words, covered.tolist()) if not c]
-                kept = b" ".join(words)
-                out.append((doc_id.as_py(), n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass")))
-            columns = list(zip(*out)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-            k = 5 if texts else 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[:k], kinds)], names=names[:k])
-
-    return rows.join(later, "doc_id", "left").select("doc_id", "text", "hs").mapInArrow(remove, schema)
+            before = b.column(at).to_pylist()
+            after = [k if gone else t for t, (_, gone, k) in zip(before, _without(b.column(at), b.column(len(b.columns) - 1)))]
+            columns = list(b.columns[:-1])
+            columns[at] = pa.array(after, pa.string())
+            if size is not None:
+                columns[size] = pa.array([o if t is s else len(t) for o, s, t in zip(columns[size].to_pylist(), before, after)], columns[size].type)
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    docs_columns = list(docs.columns)
+    return both.mapInArrow(run, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
