@@ -28,6 +28,7 @@ import gc
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 
 import pandas as pd
@@ -38,9 +39,9 @@ NEVER = 1 << 30
 END = "\n"  # one character for the end-of-word mark inside the automaton
 CACHE_WORDS = 1_500_000  # words kept per Python worker; the cache is emptied beyond
 
-# The pre-tokenizer pattern of the vocabulary file, with white
-# space spelled as the Unicode property.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+# The pre-tokenizer pattern of the vocabulary file; {L}, {N} and {S}
+# stand for the characters of Unicode letters, numbers and white space.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 # The same pattern for texts of ASCII and accented Latin characters, where the
 # standard library's faster engine needs no Unicode properties.
 LATIN = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
@@ -55,6 +56,41 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in keep else chr(next(other)) for b in range(256)]
 
 
+def _ranges(points: list[int]) -> str:
+    """A character class of sorted code points."""
+    out, at = [], 0
+    while at < len(points):
+        end = at
+        while end + 1 < len(points) and points[end + 1] == points[end] + 1:
+            end += 1
+        out.append(f"{re.escape(chr(points[at]))}-{re.escape(chr(points[end]))}")
+        at = end + 1
+    return "".join(out)
+
+
+@functools.lru_cache(maxsize=1)
+def unicode_words():
+    """``findall`` of SPLIT.  Characters that this Python doesn't know as assigned are
+    asked of the tokenizers library, whose Unicode version may be newer."""
+    from tokenizers import Regex, pre_tokenizers
+
+    by_class: dict[str, list[int]] = {"L": [], "N": []}
+    unknown = []
+    for point in range(sys.maxunicode + 1):
+        category = unicodedata.category(chr(point))
+        if category[0] in by_class:
+            by_class[category[0]].append(point)
+        elif category == "Cn":
+            unknown.append(chr(point))
+    maybe = regex.findall(r"[\p{L}\p{N}]", "".join(unknown))
+    for name in by_class:
+        split = pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed", invert=True)
+        by_class[name] = sorted(by_class[name] + [ord(c) for c in maybe if split.pre_tokenize_str(c)])
+    space = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    classes = {"L": _ranges(by_class["L"]), "N": _ranges(by_class["N"]), "S": _ranges(space)}
+    return re.compile(SPLIT.format(**classes)).findall
+
+
 class MergeAutomaton:
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
         self.suffix = suffix
@@ -177,7 +213,6 @@ class WordBpe:
             if self.special
             else None
         )
-        self.words = regex.compile(SPLIT).findall
         self.latin_words = re.compile(LATIN_SPLIT).findall
         self.beyond_latin = re.compile(BEYOND_LATIN).search
         self.symbols = byte_symbols()
@@ -198,7 +233,7 @@ class WordBpe:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         text = text.lower()
-        return self.words(text) if self.beyond_latin(text) else self.latin_words(text)
+        return unicode_words()(text) if self.beyond_latin(text) else self.latin_words(text)
 
     def ids_of(self, piece: str) -> list[int]:
         i = self.special.get(piece)
