@@ -75,8 +75,8 @@ def test_licences(spark, docs):
         "under the mit\x00license", "underé the mit license", "x " * 3000 + "under the mit license", "and software permission any",
     ]
     got = {r["doc_id"]: r for r in licenses.scan(docs(rows)).collect()}
-    assert (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"], got[0]["base_labels"]) == (2, 1, 9, "mit")
-    assert (got[1]["n_base"], got[1]["base_labels"], got[1]["first_word"], got[1]["last_word"]) == (4, "apache-2,cc-by-nc", 0, 12)
+    assert (got[0]["n_base"], got[0]["first_word"], got[0]["last_word"], got[0]["base_labels"]) == (2, 1, 10, "mit")
+    assert (got[1]["n_base"], got[1]["base_labels"], got[1]["first_word"], got[1]["last_word"]) == (4, "apache-2,cc-by-nc", 0, 13)
     for i in (2, 3, 4, 5, 6, 9, 11):
         assert (got[i]["n_base"], got[i]["first_word"], got[i]["base_labels"]) == (0, None, "")
     assert got[7]["labels"] == "all-rights-reserved,gpl" and got[7]["score"] == 1.0 and got[7]["base_labels"] == ""
