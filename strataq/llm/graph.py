@@ -3,22 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by ``spark.checkpoint.dir``; a folder
-    of its own only where the session names none."""
+def _shared(df: DataFrame) -> str:
+    """The checkpoint folder, which ``spark.checkpoint.dir`` names; a folder of our
+    own only where the session names none."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    _shared(df)
     return df.checkpoint(eager=True)
 
 
+def shelve(df: DataFrame) -> DataFrame:
+    """Written as a table in the shared folder and read again: a lineage cut whose
+    columns are read one by one."""
+    return _read_back(df, f"{_shared(df)}/table-{uuid.uuid4().hex}")
+
+
+def _read_back(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): root is the
     smallest node it is connected to.

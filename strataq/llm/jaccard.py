@@ -17,8 +17,11 @@ two tasks or nodes may share, and a set with fewer than ``g`` marked ones (a
 document that only shares a passage) sends nothing.  Of the rest, the rarest
 ``c - g + 1`` of a set's ``c`` shared signatures are kept; linked sets share one.
 
-Within a signature no pairs are spelled out.  All members are compared with three
-pivots, and only members that are then in different components meet each other.
+Sets that are connected by kept signatures form a cluster.  No pairs are spelled
+out: a cluster is split into blocks of bounded size, a task counts the shared
+shingles of one block with another through an index of the block, and sends the
+edges of a spanning forest.  First every block meets itself.  Then, in clusters that
+are still in several pieces, the sets outside the largest piece meet all others.
 """
 
 from __future__ import annotations
@@ -31,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataq.llm import sketch
-from strataq.llm.graph import components, cut
+from strataq.llm.graph import components, cut, shelve
 from strataq.llm.sketch import mix
 from strataq.llm.wordbatch import Words, slices, windows
 
 SHINGLE = 5
 SMALL = 64  # sets up to this size have one part for each shingle
 FILL = 3.0  # shingles in a part at the upper end of a band
-SIG_COLUMNS = "sig long, node long, size int, least int"
+BLOCK = 200_000  # shingles of a cluster in one block
 
 
 def sets_of(texts: pa.Array):
@@ -47,9 +50,12 @@ def sets_of(texts: pa.Array):
     for start, stop in slices(texts):
         words = Words(texts[start:stop], lower=True)
         hashed = mix(windows(words.values, SHINGLE))
-        for a, b in zip(words.edges[:-1].tolist(), words.edges[1:].tolist()):
+        edges = words.edges.tolist()
+        for a, b in zip(edges, edges[1:]):
             if b - a >= SHINGLE:
-                yield np.unique(hashed[a : b - SHINGLE + 1])
+                s = np.sort(hashed[a : b - SHINGLE + 1])
+                new = s[1:] != s[:-1]
+                yield s if new.all() else np.concatenate([s[:1], s[1:][new]])
             else:
                 yield mix(windows(words.values[a:b], b - a) + np.uint64(b - a)) if b > a else words.values[:0]
 
@@ -61,7 +67,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def band_of(size: int) -> int:
-    return max(0, (size - 1).bit_length() - SMALL.bit_length() + 1) if size > SMALL else 0
+    return (size - 1).bit_length() - SMALL.bit_length() + 1 if size > SMALL else 0
 
 
 def signatures(s: np.ndarray, fill: float) -> tuple[np.ndarray, int, bool]:
@@ -70,25 +76,22 @@ def signatures(s: np.ndarray, fill: float) -> tuple[np.ndarray, int, bool]:
     n = len(s)
     out, enough, least = [], True, n
     for band in sorted({band_of(n), band_of(n + n // 4)}):
-        salt = np.uint64((band + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        if band == 0:
-            out.append(mix(s ^ salt))
-            filled = n
-        else:
-            parts = int((SMALL << band) / fill)
-            h = mix(s ^ salt)
-            part = (h >> np.uint64(32)).astype(np.int64) * parts >> 32
-            order = np.argsort(part, kind="stable")
-            part, h = part[order], h[order]
-            edges = np.flatnonzero(np.diff(part, prepend=-1))
+        h = mix(s ^ np.uint64((band + 1) * 0xD6E8FEB86659FD93 % 2**64))
+        filled = n
+        if band:
+            # the part is the upper half of the hash, scaled: sorting by hash sorts by part
+            h.sort()
+            part = ((h >> np.uint64(32)) * np.uint64(int((SMALL << band) / fill))) >> np.uint64(32)
+            edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             filled = len(edges)
-            out.append(mix(np.add.reduceat(mix(h), edges) ^ mix(part[edges].astype(np.uint64) + salt)))
+            h = mix(np.add.reduceat(h, edges) ^ (part[edges] << np.uint64(40)))
+        out.append(h)
         # as the larger set of a pair it differs in 2n/9 parts at most, as the
         # smaller in n/4
         if band == band_of(n):
             enough = filled > 2 * n // 9
         least = min(least, filled - n // 4)
-    return np.concatenate(out), max(1, least), enough
+    return np.concatenate(out) if len(out) > 1 else out[0], max(1, least), enough
 
 
 def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, bool]:
@@ -99,179 +102,206 @@ def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, b
         mine, seen, thin = sketch.Partial(bits), set(), 0
         for b in batches:
             for s in sets_of(b.column(0)):
-                if len(s):
-                    node = node_of(s)
-                    if node not in seen:  # copies in one task count once
-                        seen.add(node)
-                        sigs, _, enough = signatures(s, fill)
-                        mine.add(sigs)
-                        thin += not enough
-                        if mine.full():
-                            yield sketch.batch(mine.rows())
+                if len(s) and (node := node_of(s)) not in seen:  # copies in one task count once
+                    seen.add(node)
+                    sigs, _, enough = signatures(s, fill)
+                    mine.add(sigs)
+                    thin += not enough
+                    if mine.full():
+                        yield sketch.batch(mine.rows())
         if mine.size:
             yield sketch.batch(mine.rows())
         if thin:
-            yield sketch.batch([(-1, b"", b"")])
+            yield sketch.batch([(-1, b"")])
 
-    parts = rows.select("text").mapInArrow(run, sketch.SCHEMA)
     thin: list[bool] = []
-    return sketch.merge(parts, bits, thin), bool(thin)
+    return sketch.merge(rows.select("text").mapInArrow(run, sketch.SCHEMA), bits, thin), bool(thin)
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of every row; node is null for an empty set."""
+def _described(rows: DataFrame, twice, fill: float) -> DataFrame:
+    """(doc_id, n_shingles, node, least, sigs, set) of every row; node is null for an
+    empty set.  The signatures that may be shared and the set itself come with the
+    first row of a node in a task, if there are enough of the former to link."""
 
     def run(batches):
         gc.disable()
+        seen: set[int] = set()
         for b in batches:
-            size, node = [], []
+            out = []
             for s in sets_of(b.column(1)):
-                size.append(len(s))
-                node.append(node_of(s) if len(s) else None)
+                node = node_of(s) if len(s) else None
+                least, sigs = None, None
+                if node is not None and node not in seen:
+                    seen.add(node)
+                    sigs, least, _ = signatures(s, fill)
+                    sigs = sigs[twice.value(sigs)]
+                    if len(sigs) < least:
+                        least, sigs = None, None
+                out.append((len(s), node, least, None if sigs is None else sigs.view(np.int64), None if sigs is None else s.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+            columns = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64())], names=["doc_id", "n_shingles", "node"]
+                [b.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_shingles", "node", "least", "sigs", "set"]
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long")
-
-
-def _suspects(rows: DataFrame, twice, fill: float) -> DataFrame:
-    """Signatures that may be shared, of the sets that have enough of them."""
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, least int, sigs array<long>, set binary")
+
+
+def _forest(n: int, a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Edges among (a, b) that connect what they all connect."""
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(a, b):
+        p, q = find(x), find(y)
+        if p != q:
+            root[q] = p
+            out.append((x, y))
+    return out
+
+
+def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int = 80):
+    """For each set of ``first`` the places of the sets of ``second`` it links with."""
+    size = np.array([len(s) for s in second])
+    flat = np.concatenate(second)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], np.repeat(np.arange(len(second)), size)[order]
+    for s in first:
+        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        count = high - low
+        on = count > 0
+        low, count = low[on], count[on]
+        if not len(low):
+            yield np.zeros(0, np.int64)
+            continue
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        same = np.bincount(owner[at], minlength=len(second))
+        yield np.flatnonzero((same > 0) & (100 * same >= percent * (len(s) + size - same)))
+
+
+def _met(groups: DataFrame) -> DataFrame:
+    """(a, b): a spanning forest of the links found in each group of two blocks.  Rows
+    come sorted by group; ``outside`` marks the sets that have to meet all others."""
 
     def run(batches):
-        gc.disable()
-        seen: set[int] = set()
-        for b in batches:
-            out = []
-            for s in sets_of(b.column(0)):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                sigs, least, _ = signatures(s, fill)
-                sigs = sigs[twice.value(sigs)]
-                if len(sigs) >= least:
-                    out.append((sigs, node, len(s), least))
+        held: list[tuple] = []
+        name = None
+
+        def settle():
+            if len(held) < 2:
+                return
+            first = held[0][0]
+            left = [k for k, h in enumerate(held) if h[2] == first[1]]
+            right = [k for k, h in enumerate(held) if h[2] == first[2]]
+            sets = [np.frombuffer(h[4], np.uint64) for h in held]
+            a: list[int] = []
+            b: list[int] = []
+            for these, those in ((left, right), (right, left)) if first[1] != first[2] else ((left, left),):
+                these = [k for k in these if held[k][3]]
+                if these and those:
+                    for k, found in zip(these, linked([sets[k] for k in these], [sets[k] for k in those])):
+                        a += [k] * len(found)
+                        b += [those[i] for i in found.tolist()]
+            for x, y in _forest(len(held), a, b):
+                yield held[x][1], held[y][1]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for group, one, two, side, node, outside, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, one, two) != name:
+                    out += settle()
+                    held.clear()
+                    name = (group, one, two)
+                held.append((name, node, side, outside, s))
             if out:
-                n = [len(o[0]) for o in out]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([o[0] for o in out]).view(np.int64)),
-                        pa.array(np.repeat(np.array([o[1] for o in out], np.int64), n)),
-                        pa.array(np.repeat(np.array([o[2] for o in out], np.int32), n)),
-                        pa.array(np.repeat(np.array([o[3] for o in out], np.int32), n)),
-                    ],
-                    names=["sig", "node", "size", "least"],
-                )
-
-    return rows.select("text").mapInArrow(run, SIG_COLUMNS)
-
-
-def _sets(rows: DataFrame, twice, fill: float) -> DataFrame:
-    """(node, set) of the sets that ``_suspects`` sends, one row a node."""
-
-    def run(batches):
-        gc.disable()
-        seen: set[int] = set()
-        for b in batches:
-            nodes, sets = [], []
-            for s in sets_of(b.column(0)):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                sigs, least, _ = signatures(s, fill)
-                if twice.value(sigs).sum() >= least:
-                    nodes.append(node)
-                    sets.append(s.tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
-
-    return rows.select("text").mapInArrow(run, "node long, set binary")
-
-
-def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, same, size) of distinct pairs (a, b): shared shingles and union."""
-
-    def run(batches):
-        for b in batches:
-            same, size = [], []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                n = int((large[at] == small).sum())
-                same.append(n)
-                size.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(same, pa.int64()), pa.array(size, pa.int64())], names=["a", "b", "same", "size"]
-            )
-
-    left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
-    both = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b")
-    return both.mapInArrow(run, "a long, b long, same long, size long")
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
+        if out := list(settle()):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
+
+def _compare(placed: DataFrame, sets: DataFrame, diagonal: bool) -> DataFrame:
+    """Links between the sets of a cluster; ``placed`` has (cluster, node, side, blocks,
+    outside).  Blocks meet themselves (``diagonal``) or all blocks; block pairs without
+    an outside set fall away."""
+    if diagonal:
+        pairs = placed.select("cluster", F.col("side").alias("one"), F.col("side").alias("two"), "side", "node", "outside")
+    else:
+        with_all = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = with_all.select("cluster", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "node", "outside")
+        busy = pairs.groupBy("cluster", "one", "two").agg(F.max("outside").alias("any")).filter("any").drop("any")
+        pairs = pairs.join(busy, ["cluster", "one", "two"])
+    groups = (
+        pairs.join(sets, "node")
+        .select("cluster", "one", "two", "side", "node", "outside", "set")
+        .repartition("cluster", "one", "two")
+        .sortWithinPartitions("cluster", "one", "two")
+    )
+    return cut(_met(groups))
 
 
-def links(rows: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(links, classes) between nodes: links (a, b) that connect every component of
-    the join graph, and (node, root).  ``percent`` is fixed by the bounds above."""
-    assert percent == 80
-    spark = rows.sparkSession
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    fill = FILL
-    while True:
-        marks, thin = _sketch(rows, chars / 6.5, fill)
-        if not thin:
-            break
-        fill /= 2  # never seen; keeps the join exact
-    twice = spark.sparkContext.broadcast(marks)
-    sent = _suspects(rows, twice, fill)
-    # nodes seen by several tasks send equal rows; they are one member
-    members = sent.groupBy("sig", "node").agg(F.max("size").alias("size"), F.max("least").alias("least"))
+def links(described: DataFrame) -> DataFrame:
+    """(node, root): components of the join graph, for nodes that link."""
+    sent = described.filter("sigs IS NOT NULL")
+    # a node that several tasks met is one member
+    members = sent.select("node", "least", F.explode("sigs").alias("sig")).groupBy("sig", "node").agg(F.max("least").alias("least"))
     shared = members.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
-    mine = members.join(shared, "sig")
     rare = Window.partitionBy("node").orderBy("members", "sig")
     mine = (
-        mine.withColumn("at", F.row_number().over(rare))
+        members.join(shared, "sig")
+        .withColumn("at", F.row_number().over(rare))
         .withColumn("had", F.count("*").over(Window.partitionBy("node")))
         .filter("had >= least AND at <= had - least + 1")
     )
-    mine = cut(mine.select("sig", "node", F.xxhash64("node").alias("other")))
-    pivots = mine.groupBy("sig").agg(
-        F.min("node").alias("p1"), F.max("node").alias("p2"), F.min_by("node", "other").alias("p3"), F.count("*").alias("n")
-    ).filter("n > 1")
-    star = mine.join(pivots, "sig")
-    pair = lambda p: star.select(F.least("node", p).alias("a"), F.greatest("node", p).alias("b"))
-    pairs = pair("p1").unionByName(pair("p2")).unionByName(pair("p3")).filter("a < b").distinct()
-    sets = _sets(rows, twice, fill).join(mine.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = cut(sets)
-    first = cut(_compared(pairs, sets))
-    close = first.filter(f"100 * same >= {percent} * size").select("a", "b")
-    classes = components(close)
-    # members of one signature that are still apart
-    placed = mine.join(classes, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("sig").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 < r2").select("sig")
-    apart = cut(placed.join(apart, "sig"))
-    rest = (
-        apart.select("sig", F.col("node").alias("a"), F.col("root").alias("ra"))
-        .join(apart.select("sig", F.col("node").alias("b"), F.col("root").alias("rb")), "sig")
-        .filter("a < b AND ra <> rb")
-        .select("a", "b")
-        .distinct()
-        .join(first.select("a", "b"), ["a", "b"], "left_anti")
-    )
-    second = cut(_compared(rest, sets).filter(f"100 * same >= {percent} * size").select("a", "b"))
-    if not second.isEmpty():
-        close = close.unionByName(second)
-        classes = components(close)
-    return close, classes
+    mine = cut(mine.select("sig", "node"))
+    hub = mine.groupBy("sig").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    clusters = components(mine.join(hub, "sig").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    sets = shelve(sent.select("node", "n_shingles", "set").join(clusters, "node").dropDuplicates(["node"]))
+    size = sets.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
+    placed = sets.select("node", F.col("root").alias("cluster")).join(size.withColumnRenamed("root", "cluster"), "cluster")
+    sets = sets.select("node", "set")
+
+    def side(salt: int):
+        return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
+
+    def pieces(classes: DataFrame) -> DataFrame:
+        """Nodes of clusters of several blocks that are still in several pieces."""
+        wide = placed.filter("blocks > 1").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        count = wide.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+        main = count.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("pieces")).filter("pieces > 1")
+        return wide.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
+
+    found = _compare(placed.withColumn("side", side(0)).withColumn("outside", F.lit(True)), sets, True)
+    classes = components(found)
+    # other blocks join the large pieces of the first ones
+    again = pieces(classes).withColumn("side", side(1)).withColumn("outside", F.lit(True))
+    found = cut(found.unionByName(_compare(again, sets, True)))
+    classes = components(found)
+    rest = pieces(classes).withColumn("side", side(0)).select("cluster", "node", "side", "blocks", "outside")
+    more = _compare(cut(rest), sets, False)
+    return classes if more.isEmpty() else components(found.unionByName(more))
 
 
 def _placed(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class and component_id of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    nodes = cut(_nodes(rows))
-    _, classes = links(rows)
-    placed = nodes.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    fill = FILL
+    while True:
+        marks, thin = _sketch(rows, chars / 6.5, fill)
+        if not thin:
+            break
+        fill /= 2  # never seen; keeps the join exact
+    described = shelve(_described(rows, rows.sparkSession.sparkContext.broadcast(marks), fill))
+    classes = links(described)
+    placed = described.select("doc_id", "n_shingles", "node").join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
     least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
 

@@ -54,52 +54,57 @@ class Partial:
         return self.size >= FLUSH
 
     def rows(self):
-        """(range of cells, touched cells, counts capped at 2), then empty."""
+        """(range of cells, its touched cells in order as steps from one to the next),
+        then empty.  A cell that is touched again is a step of 0."""
         if not self.size:
             return
         keys = np.concatenate(self.parts)
         self.parts, self.size = [], 0
-        step = np.int64(1) << min(RANGE_BITS, self.bits)
+        width = min(RANGE_BITS, self.bits)
         for row in range(ROWS):
-            at, n = np.unique(cells(keys, self.bits, row), return_counts=True)
-            edges = np.flatnonzero(np.diff(at // step, prepend=-1))
-            for i, j in zip(edges, np.append(edges[1:], len(at))):
-                name = int(row << 32 | int(at[i] // step))
-                yield name, (at[i:j] % step).astype("<u4").tobytes(), np.minimum(n[i:j], 2).astype(np.uint8).tobytes()
+            at = np.sort(cells(keys, self.bits, row))
+            name = at >> width
+            edges = np.flatnonzero(np.diff(name, prepend=-1))
+            for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(at)]):
+                step = np.diff(at[i:j] - (name[i] << width), prepend=0)
+                kind = "<u2" if step.max() < 1 << 16 else "<u4"
+                yield row << 32 | int(name[i]), kind[2].encode() + step.astype(kind).tobytes()
 
 
-SCHEMA = "cells long, at binary, n binary"
+SCHEMA = "cells long, at binary"
 
 
 def batch(rows):
     import pyarrow as pa
 
     rows = list(rows)
-    return pa.RecordBatch.from_arrays(
-        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())],
-        names=["cells", "at", "n"],
-    )
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["cells", "at"])
 
 
 def merge(parts: DataFrame, bits: int, flags: list | None = None) -> "Twice":
     """Merge partial sketches by range of cells; collect one bit per cell.  A row of
     the range -1 carries no cells and is noted in ``flags``."""
-    step = 1 << min(RANGE_BITS, bits)
+    size = 1 << min(RANGE_BITS, bits)
 
     def run(batches):
         import pyarrow as pa
 
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for name, at, n in zip(*(c.to_pylist() for c in b.columns)):
+            for name, at in zip(*(c.to_pylist() for c in b.columns)):
                 if name < 0:
                     held[name] = np.zeros(8, np.uint8)
                     continue
                 total = held.get(name)
                 if total is None:
-                    total = held[name] = np.zeros(step, np.uint8)
-                cell = np.frombuffer(at, "<u4")
-                total[cell] = np.minimum(total[cell] + np.frombuffer(n, np.uint8), 2)
+                    total = held[name] = np.zeros(size, np.uint8)
+                step = np.frombuffer(at, f"<u{at[:1].decode()}", offset=1)
+                cell = np.cumsum(step, dtype=np.int64)
+                again = step == 0
+                again[0] = False
+                once = cell[~again]
+                total[once] = np.minimum(total[once] + 1, 2)
+                total[cell[again]] = 2
         if held:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.int64()), pa.array([np.packbits(t >= 2, bitorder="little").tobytes() for t in held.values()], pa.binary())],
@@ -114,7 +119,7 @@ def merge(parts: DataFrame, bits: int, flags: list | None = None) -> "Twice":
             flags.append(True)
             continue
         part = np.frombuffer(bytes(got), np.uint8)
-        first = (name & 0xFFFFFFFF) * step // 8
+        first = (name & 0xFFFFFFFF) * size // 8
         tables[name >> 32][first : first + len(part)] = part
     return Twice(bits, tables)
 
