@@ -9,9 +9,9 @@ of weight ``w`` draws from a hash of ``(k, j)``
 
 and the sample is the smallest ``ln a`` of the document, a value that is settled by
 the winning ``(k, t)``.  Two documents share a sample with the probability of their
-generalised Jaccard similarity.  ``r`` and ``ln c`` are read from quantile tables
-made from the Gamma(2, 1) distribution function, ``ln c`` with a second table for
-its lowest cell, so that no logarithm is taken per term and sample.
+generalised Jaccard similarity.  ``r`` and ``ln c`` are read from small quantile
+tables made from the Gamma(2, 1) distribution function, that of ``ln c`` fine where
+it decides, at the low end, so that no logarithm is taken per term and sample.
 
 The successor of a document by ascending id comes from ranges of ids: ranges are
 dealt to tasks whole, each with a copy of the next range's first document behind
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SAMPLES = 32
-CELLS, R_CELLS = 4096, 256
+R_CELLS, OCTAVES, PARTS = 16, 25, 8
 RANGE_ROWS = 256  # documents in a range of ids
 MOST_RANGES = 16_384  # literal starts of ranges in the plan; ranges grow beyond
 TASK_ROWS = 2_000  # documents in a task
@@ -49,30 +49,33 @@ def gamma2_quantiles(p: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=1)
-def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, and ln c inside the lowest cell, at the middle of each cell."""
-    p = (np.arange(CELLS) + 0.5) / CELLS
+def tables() -> tuple[np.ndarray, np.ndarray]:
+    """r at the middle of R_CELLS equal shares; ln c at the middle of PARTS parts of
+    each octave of its distribution function, the highest octave first."""
     r = gamma2_quantiles((np.arange(R_CELLS) + 0.5) / R_CELLS)
-    return r, np.log(gamma2_quantiles(p)), np.log(gamma2_quantiles(p / CELLS))
+    octave = 0.5 ** np.arange(1, OCTAVES + 1)
+    c = gamma2_quantiles(np.ravel(octave[:, None] * (1 + (np.arange(PARTS) + 0.5) / PARTS)))
+    return r.round(5), np.log(c).round(5)
 
 
 def _sample(j: int, literals, h: str = "h", ln_w: str = "ln_w"):
     """``ln a`` of sample ``j``; null for a null term.  ``literals``: the tables.
 
-    Two samples share a 64-bit hash, 32 bits each: 12 for c, 8 for r, 12 for b; the
-    place inside the lowest cell of c comes from the other half.
+    Two samples share a 64-bit hash, 32 bits each: 12 for the octave of c (trailing
+    zeros, going on in the other half's 12), 3 for its part, 4 for r, 13 for b.
     """
-    r_table, c_table, low_table = literals
+    r_table, c_table = literals
     x = F.xxhash64(F.col(h), F.lit(j // 2))
     at = 32 * (j % 2)
 
     def bits(first: int, mask: int):
-        return (F.shiftright(x, first) if first else x).bitwiseAND(mask).cast("int")
+        return (F.shiftright(x, first) if first else x).bitwiseAND(mask)
 
-    cell, other = bits(at, CELLS - 1), bits(32 - at, CELLS - 1)
-    ln_c = F.when(cell == 0, F.get(low_table, other)).otherwise(F.get(c_table, cell))
-    r = F.get(r_table, bits(at + 12, R_CELLS - 1))
-    b = (bits(at + 20, 4095).cast("double") + 0.5) / 4096.0
+    y = bits(at, 4095).bitwiseOR(F.shiftleft(bits(32 - at, 4095), 12)).bitwiseOR(1 << (OCTAVES - 1))
+    octave = F.bit_count(y.bitwiseAND(-y) - 1)
+    ln_c = F.get(c_table, octave * PARTS + bits(at + 12, PARTS - 1).cast("int"))
+    r = F.get(r_table, bits(at + 15, R_CELLS - 1).cast("int"))
+    b = (bits(at + 19, 8191).cast("double") + 0.5) / 8192.0
     # a weight of 1 has ln w = 0, hence t = 0
     t = F.when(F.col(ln_w) == 0, F.lit(0.0)).otherwise(F.floor(F.col(ln_w) / r + b).cast("double"))
     return F.when(F.col(h).isNotNull(), ln_c - r * (t - b + 1.0))
