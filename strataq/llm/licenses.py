@@ -142,11 +142,14 @@ def op5_sql() -> str:
 
     hits, hints = [], []
     for n, (_, words, rare) in enumerate(templates):
-        hits.append(f"list_filter(range(0, len(words)), lambda i: words[i + 1 : i + {len(words)}] = {listed(words)}) AS in{n}")
+        hits.append(
+            f"CASE WHEN contains(line, ' {' '.join(words)} ') THEN list_filter(range(0, len(words)),"
+            f" lambda i: words[i + 1 : i + {len(words)}] = {listed(words)}) ELSE [] END AS in{n}"
+        )
         (a, i), (b, j) = rare
         hints.append(
-            f"(len(words) >= {len(words)} AND len(list_filter(range(1, len(words) + 1), lambda i: words[i] = '{a}'"
-            f" AND i + {j - i} >= 1 AND words[CASE WHEN i + {j - i} >= 1 THEN i + {j - i} ELSE 1 END] = '{b}')) > 0) AS at{n}"
+            f"CASE WHEN contains(line, ' {a} ') AND contains(line, ' {b} ') THEN (len(words) >= {len(words)} AND len(list_filter(range(1, len(words) + 1), lambda i: words[i] = '{a}'"
+            f" AND i + {j - i} >= 1 AND words[CASE WHEN i + {j - i} >= 1 THEN i + {j - i} ELSE 1 END] = '{b}')) > 0) ELSE false END AS at{n}"
         )
     every, base = range(len(templates)), range(len(BASE))
 
@@ -156,7 +159,8 @@ def op5_sql() -> str:
 
     starts = "list_concat(list_concat(in0, in1), in2)"
     return rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+WITH v AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, words, ' ' || array_to_string(words, ' ') || ' ' AS line FROM v),
 f AS (SELECT doc_id, words, {", ".join(hits)}, {", ".join(hints)} FROM w)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len({starts}) AS BIGINT) AS n_base,
   CAST(list_min({starts}) AS BIGINT) AS first_word, CAST(list_max({starts}) AS BIGINT) AS last_word,
