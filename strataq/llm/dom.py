@@ -33,7 +33,7 @@ _BORDERS = frozenset("table td th button caption html object marquee applet".spl
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -61,6 +61,7 @@ class Page:
 
     def _read(self, s: str):
         stack, tags, at, block, size = [0], ["#root"], 0, 0, len(s)
+        count: dict[str, int] = {}  # open elements of each tag
         scan = TOKEN.search
         while at < size:
             m = scan(s, at)
@@ -83,12 +84,11 @@ class Page:
             if m[1]:
                 if name == "br":
                     block += 1
-                elif name in tags:
-                    while tags.pop() != name:
-                        stack.pop()
-                    stack.pop()
-                    if not stack:
-                        stack, tags = [0], ["#root"]
+                elif count.get(name):
+                    at_tag = len(tags) - 1
+                    while tags[at_tag] != name:
+                        at_tag -= 1
+                    self._cut(stack, tags, count, at_tag)
                 if name not in INLINE:
                     block += 1
                 continue
@@ -98,10 +98,10 @@ class Page:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(s, at)
                 at = end.end() if end else size
                 continue
-            if name in _P_ENDERS:
-                self._close(stack, tags, {"p"}, _BORDERS)
-            if name in _CLOSES:
-                self._close(stack, tags, *_CLOSES[name])
+            if name in _P_ENDERS and count.get("p"):
+                self._close(stack, tags, count, {"p"}, _BORDERS)
+            if name in _CLOSES and any(count.get(t) for t in _CLOSES[name][0]):
+                self._close(stack, tags, count, *_CLOSES[name])
             raw = m[3] or ""
             names = " ".join([a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(raw)]) if "=" in raw else ""
             node = self._add(name, names.lower(), stack[-1], "", block)
@@ -111,12 +111,20 @@ class Page:
             if name not in VOID and not raw.endswith("/"):
                 stack.append(node)
                 tags.append(name)
+                count[name] = count.get(name, 0) + 1
 
     @staticmethod
-    def _close(stack, tags, ended, borders):
+    def _cut(stack, tags, count, at):
+        """Close the element at a place of the stack and all inside it."""
+        for t in tags[at:]:
+            count[t] -= 1
+        del stack[at:], tags[at:]
+
+    @classmethod
+    def _close(cls, stack, tags, count, ended, borders):
         for i in range(len(tags) - 1, 0, -1):
             if tags[i] in ended:
-                del stack[i:], tags[i:]
+                cls._cut(stack, tags, count, i)
                 return
             if tags[i] in borders:
                 return
