@@ -24,7 +24,6 @@ to.  Decoding emits the arc labels.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 import json
 import re
@@ -32,12 +31,17 @@ import sys
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from strataq.llm.wordbatch import slices
+from strataq.llm.workers import quiet
+
 NEVER = 1 << 30
 END = "\n"  # one character for the end-of-word mark inside the automaton
-CACHE_WORDS = 1_500_000  # words kept per Python worker; the cache is emptied beyond
+CACHE_WORDS = 400_000  # words a task keeps; the table is emptied beyond
+MEMO = 400_000  # transitions of the automaton that a worker remembers
 
 # The pre-tokenizer pattern of the vocabulary file; {L}, {N} and {S}
 # stand for the characters of Unicode letters, numbers and white space.
@@ -158,7 +162,7 @@ class MergeAutomaton:
             k, most = 0, min(known, n)
             while k < most and word[k] == before[k]:
                 k += 1
-            if len(memo) > 3_000_000:
+            if len(memo) > MEMO:
                 memo.clear()
             del last[k + 1 :], start[k + 1 :]
             inner = n - 1 if suffix else n
@@ -329,21 +333,22 @@ def digest_table(docs: DataFrame, path: str) -> DataFrame:
     cache of words, so a lost executor costs its running tasks only.
     """
 
+    @quiet
     def run(batches):
-        import pyarrow as pa
-
-        gc.disable()  # the word table holds no cycles; collections would walk all of it
         table, sha = _digests(path), hashlib.sha256
         for b in batches:
-            count, ids_sha, decoded_sha = [], [], []
-            for got in table.rows(b.column(1).to_pylist()):
-                count.append(sum([g[0] for g in got]))
-                ids_sha.append(sha(" ".join([g[1] for g in got]).encode()).hexdigest())
-                decoded_sha.append(sha(" ".join([g[2] for g in got]).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for start, stop in slices(b.column(1)):
+                part = b.slice(start, stop - start)
+                count, ids_sha, decoded_sha = [], [], []
+                for got in table.rows(part.column(1).to_pylist()):
+                    count.append(sum([g[0] for g in got]))
+                    ids_sha.append(sha(" ".join([g[1] for g in got]).encode()).hexdigest())
+                    decoded_sha.append(sha(" ".join([g[2] for g in got]).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        table.clear()
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, DIGEST_SCHEMA)
 

@@ -15,7 +15,6 @@ The model is a few hundred numbers and is trained on the driver from labelled pa
 from __future__ import annotations
 
 import functools
-import gc
 import math
 import re
 import zlib
@@ -27,6 +26,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm import pages_made
 from strataq.llm.dom import Page
+from strataq.llm.workers import quiet
 
 FEATURES = 1 << 14
 TRAINING_PAGES = 600
@@ -197,8 +197,8 @@ def extract(pages: DataFrame, model: Model, keep: list[str] = ["page_id", "url"]
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
     schema = rows.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
+    @quiet
     def run(batches):
-        gc.disable()
         m = Model(shared.value.weights.tolist(), shared.value.edge)
         for b in batches:
             texts = [m.text(x.as_py()) for x in b.column(len(keep))]

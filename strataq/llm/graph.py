@@ -47,11 +47,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     number grows with the logarithm of the size.  Self loops and repeated edges are
     harmless; edges with a null end are dropped.
     """
+    marks = F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))  # of a set of edges
     now = cut(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     )
-    mark = None
-    for _ in range(most_rounds):
+    mark = tuple(now.agg(*marks).first())
+    for _ in range(most_rounds if mark[0] else 0):
         # large star: each node's larger neighbours move to its smallest neighbour
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m0")).select("x", F.least("x", "m0").alias("m"))
@@ -65,12 +66,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .filter("u > v")
             .distinct()
         )
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == mark:
+        seen = tuple(now.agg(*marks).first())
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark = seen
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        if mark[0]:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     # now a forest of stars: every node points at the root
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

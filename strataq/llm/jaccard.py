@@ -26,7 +26,6 @@ are still in several pieces, the sets outside the largest piece meet all others.
 
 from __future__ import annotations
 
-import gc
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +36,7 @@ from strataq.llm import sketch
 from strataq.llm.graph import components, cut, shelve
 from strataq.llm.sketch import mix
 from strataq.llm.wordbatch import Words, slices, windows
+from strataq.llm.workers import quiet
 
 SHINGLE = 5
 SMALL = 64  # sets up to this size have one part for each shingle
@@ -95,10 +95,11 @@ def signatures(s: np.ndarray, fill: float) -> tuple[np.ndarray, int, bool]:
 
 
 def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, bool]:
-    bits = sketch.width_bits(words * 0.55)
+    # a set needs many marked signatures, so a fifth that are marked by chance do no harm
+    bits = sketch.width_bits(words * 0.55, 1.5)
 
+    @quiet
     def run(batches):
-        gc.disable()
         mine, seen, thin = sketch.Partial(bits), set(), 0
         for b in batches:
             for s in sets_of(b.column(0)):
@@ -123,26 +124,27 @@ def _described(rows: DataFrame, twice, fill: float) -> DataFrame:
     empty set.  The signatures that may be shared and the set itself come with the
     first row of a node in a task, if there are enough of the former to link."""
 
+    @quiet
     def run(batches):
-        gc.disable()
         seen: set[int] = set()
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         for b in batches:
-            out = []
-            for s in sets_of(b.column(1)):
-                node = node_of(s) if len(s) else None
-                least, sigs = None, None
-                if node is not None and node not in seen:
-                    seen.add(node)
-                    sigs, least, _ = signatures(s, fill)
-                    sigs = sigs[twice.value(sigs)]
-                    if len(sigs) < least:
-                        least, sigs = None, None
-                out.append((len(s), node, least, None if sigs is None else sigs.view(np.int64), None if sigs is None else s.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
-            columns = zip(*out) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(list(c), k) for c, k in zip(columns, kinds)]], names=["doc_id", "n_shingles", "node", "least", "sigs", "set"]
-            )
+            for start, stop in slices(b.column(1)):
+                part, out = b.slice(start, stop - start), []
+                for s in sets_of(part.column(1)):
+                    node = node_of(s) if len(s) else None
+                    least, sigs = None, None
+                    if node is not None and node not in seen:
+                        seen.add(node)
+                        sigs, least, _ = signatures(s, fill)
+                        sigs = sigs[twice.value(sigs)]
+                        if len(sigs) < least:
+                            least, sigs = None, None
+                    out.append((len(s), node, least, None if sigs is None else sigs.view(np.int64), None if sigs is None else s.tobytes()))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]],
+                    names=["doc_id", "n_shingles", "node", "least", "sigs", "set"],
+                )
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, least int, sigs array<long>, set binary")
 
@@ -274,12 +276,15 @@ def links(described: DataFrame) -> DataFrame:
     def pieces(classes: DataFrame) -> DataFrame:
         """Nodes of clusters of several blocks that are still in several pieces."""
         wide = placed.filter("blocks > 1").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        count = wide.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+        # a key of its own, lest the sums be made where the join dealt a whole cluster
+        count = wide.groupBy(F.struct("cluster", "root").alias("k")).agg(F.count("*").alias("n")).select("k.*", "n")
         main = count.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("pieces")).filter("pieces > 1")
         return wide.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
 
     found = _compare(placed.withColumn("side", side(0)).withColumn("outside", F.lit(True)), sets, True)
     classes = components(found)
+    if placed.filter("blocks > 1").isEmpty():
+        return classes  # every cluster has met in one block
     # other blocks join the large pieces of the first ones
     again = pieces(classes).withColumn("side", side(1)).withColumn("outside", F.lit(True))
     found = cut(found.unionByName(_compare(again, sets, True)))
@@ -322,13 +327,13 @@ def representatives(docs: DataFrame) -> DataFrame:
     Rows without words and rows with a null id stay.  Of rows that share an id one
     stays for each id that names a component.
     """
-    columns = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     named = docs.filter("doc_id IS NOT NULL")
-    stay = _placed(named).filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("__rows"))
-    kept = named.join(stay.withColumnRenamed("doc_id", "__id"), F.col("doc_id").cast("long") == F.col("__id"), "inner")
-    if not stay.filter("__rows > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.select(*columns).unionByName(docs.filter("doc_id IS NULL"))
+    stay = _placed(named).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"))
+    kept = rows.join(stay, "k")
+    if not stay.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["k"])
+    return kept.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

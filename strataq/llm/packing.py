@@ -15,15 +15,17 @@ sequences: ids are ``partition << 33 | counter``.
 from __future__ import annotations
 
 import functools
-import gc
 import heapq
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from strataq.llm import bpe
+from strataq.llm.wordbatch import slices
+from strataq.llm.workers import quiet
 
 WINDOW = 4096
 END_ID = 2
@@ -98,6 +100,11 @@ def _packed_words(path: str) -> bpe.WordTable:
     return bpe.WordTable(path, lambda ids: struct.pack(f"<{len(ids)}I", *ids))
 
 
+def _texts(b: pa.RecordBatch, table: bpe.WordTable):
+    for start, stop in slices(b.column(1)):
+        yield from zip(b.column(0)[start:stop].to_pylist(), table.rows(b.column(1)[start:stop].to_pylist()))
+
+
 def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in sequences of ``WINDOW`` ids.
 
@@ -109,12 +116,10 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
     schema = SCHEMA + (", ids array<int>" if keep_ids else "")
     end = struct.pack("<I", END_ID)
 
+    @quiet
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
-        gc.disable()  # the word table holds no cycles; collections would walk all of it
-        table = _packed_words(path)
         number = TaskContext.get().partitionId() << 33
         full: list[tuple] = []
         rests: list[tuple] = []
@@ -136,9 +141,9 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
                 filled[w] += r[2]
             return out, windows
 
+        table = _packed_words(path)
         for b in batches:
-            doc_ids = b.column(0).to_pylist()
-            for doc_id, got in zip(doc_ids, table.rows(b.column(1).to_pylist())):
+            for doc_id, got in _texts(b, table):
                 got.append(end)
                 ids = b"".join(got)
                 tokens, start = len(ids) // 4, 0
@@ -164,6 +169,7 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             yield rows(full)
         if rests:
             yield rows(settle(rests, number)[0])
+        table.clear()
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, schema)
 

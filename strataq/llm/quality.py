@@ -12,7 +12,6 @@ and its nearest labelled neighbours vote with their similarity.
 from __future__ import annotations
 
 import functools
-import gc
 import zlib
 from dataclasses import dataclass
 
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.labelled import HELD_OUT, fold, training_sample
+from strataq.llm.workers import quiet
 
 SHAPES, PAIRS = 2048, 4096
 TERMS = SHAPES + PAIRS + 2  # the last two: a repeated word, a new word
@@ -60,7 +60,7 @@ class _Words(dict):
     """word -> number of its shape; emptied when large."""
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         out = self[w] = shape_id(shape(w))
         return out
@@ -165,10 +165,10 @@ def score_table(docs: DataFrame, model: Neighbours, keep: list[str] = ["doc_id"]
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     schema = rows.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
+    @quiet
     def run(batches):
         import pyarrow as pa
 
-        gc.disable()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
@@ -188,8 +188,8 @@ def good(docs: DataFrame, model: Neighbours) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = docs.columns.index("text")
 
+    @quiet
     def run(batches):
-        gc.disable()
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)

@@ -17,7 +17,7 @@ ROWS = 2
 MOST_BITS = 28
 LEAST_BITS = 16
 RANGE_BITS = 20  # cells in one range, merged as one array
-FLUSH = 2_000_000  # cells a task holds before it sends them
+FLUSH = 500_000  # cells a task holds before it sends them
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
@@ -31,9 +31,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def width_bits(keys: float) -> int:
-    """Four cells for each expected key, within the bounds."""
-    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1.0, 4 * keys))))))
+def width_bits(keys: float, each: float = 4) -> int:
+    """``each`` cells for each expected key, within the bounds."""
+    return int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1.0, each * keys))))))
 
 
 def cells(keys: np.ndarray, bits: int, row: int) -> np.ndarray:

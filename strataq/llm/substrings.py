@@ -14,7 +14,6 @@ rows are joined with it, so that a passage in very many documents is spread.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm import sketch
 from strataq.llm.wordbatch import Words, slices, sliding_min, windows
+from strataq.llm.workers import quiet
 
 WINDOW, GRAM = 50, 8
 
@@ -49,8 +49,8 @@ def _sketch(rows: DataFrame, chars: int) -> sketch.Twice:
     # words have 6.5 characters or so; about 2 in 44 grams are some window's anchor
     bits = sketch.width_bits(chars / 6.5 * 2 / 44)
 
+    @quiet
     def run(batches):
-        gc.disable()
         mine = sketch.Partial(bits)
         for b in batches:
             for start, stop in slices(b.column(0)):
@@ -72,8 +72,8 @@ def _later(rows: DataFrame) -> DataFrame:
     chars = named.agg(F.sum(F.length("text"))).first()[0] or 0
     twice = rows.sparkSession.sparkContext.broadcast(_sketch(named, int(chars)))
 
+    @quiet
     def suspects(batches):
-        gc.disable()
         for b in batches:
             for start, stop in slices(b.column(1)):
                 words = Words(b.column(1)[start:stop])
@@ -126,8 +126,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     rows = _rows(docs)
 
+    @quiet
     def run(batches):
-        gc.disable()
         for b in batches:
             n, gone, kept = (list(x) for x in zip(*_without(b.column(1), b.column(2)))) if b.num_rows else ([], [], [])
             shas = [hashlib.sha256(k.encode()).hexdigest() for k in kept]
@@ -144,23 +144,22 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words are their kept
     words joined by one space, other texts stay as they are; ``n_chars``, if there,
     follows the text."""
-    at, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    later = _later(_rows(docs)).withColumnRenamed("doc_id", "__id").withColumnRenamed("hs", "__hs")
-    both = docs.join(later, F.col("doc_id").cast("long") == F.col("__id"), "left").select(*docs.columns, "__hs")
+    names = docs.columns
+    at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
 
+    @quiet
     def run(batches):
-        gc.disable()
         for b in batches:
-            before = b.column(at).to_pylist()
-            after = [k if gone else t for t, (_, gone, k) in zip(before, _without(b.column(at), b.column(len(b.columns) - 1)))]
-            columns = list(b.columns[:-1])
+            columns = b.column(0).flatten()
+            before = columns[at].to_pylist()
+            after = [k if gone else t for t, (_, gone, k) in zip(before, _without(columns[at], b.column(1)))]
             columns[at] = pa.array(after, pa.string())
             if size is not None:
                 columns[size] = pa.array([o if t is s else len(t) for o, s, t in zip(columns[size].to_pylist(), before, after)], columns[size].type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    docs_columns = list(docs.columns)
-    return both.mapInArrow(run, docs.schema)
+    return rows.join(_later(_rows(docs)), "doc_id", "left").select("row", "hs").mapInArrow(run, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

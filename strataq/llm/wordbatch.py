@@ -9,7 +9,7 @@ import xxhash
 
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
-SLICE_BYTES = 4_000_000  # text split together
+SLICE_BYTES = 2_000_000  # text split together
 
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
