@@ -1,12 +1,5 @@
 import pytest
 
-WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
-
-
-def words(rng, n):
-    return " ".join(rng.choice(WORDS) + str(rng.randrange(1000)) for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def docs(spark):
     """Builds a documents frame from texts or (id, text) pairs, with clashing extra columns."""

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import words
+from helpers import words
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer

@@ -4,7 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import words
+from helpers import words
 from oracle import DATA
 
 from strataq.llm import extraction, fingerprint, licenses, pages_made, quality, toxicity
