@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm.graph import components, cut
+from strataq.llm.graph import components, cut, forest
 
 THRESHOLD = 0.98
 MISS = 1e-3
@@ -81,20 +81,6 @@ def linked(x: np.ndarray, y: np.ndarray, same: bool) -> tuple[np.ndarray, np.nda
     return i, j
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Smallest index reachable from each of ``n`` vertices."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def _named(rows: DataFrame) -> DataFrame:
     """(vec_id, label, node, vec): node and vec are null where nothing can link."""
 
@@ -169,7 +155,7 @@ def _met(groups: DataFrame) -> DataFrame:
             i, j = a[i], b[j]
             if not len(i):
                 return None
-            root = _forest(len(nodes), i, j)
+            root = forest(len(nodes), i, j)
             new = np.ones(len(i), bool)  # not met in an earlier band
             for e in range(t):
                 new &= keys[i, e] != keys[j, e]

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import words
+from helpers import words
 from oracle import DATA, assert_same
 
 from strataq.llm import embeddings, jaccard, registry, substrings
@@ -209,5 +209,6 @@ def test_components(spark):
     frame = spark.createDataFrame(pairs, "a long, b long")
     ids = {x for p in pairs if p[0] != p[1] for x in p}
     want = brute_components([p for p in pairs if p[0] != p[1]], ids)
-    assert {r["node"]: r["root"] for r in components(frame).collect()} == want
+    for local in (10**6, 40):  # one task; several, then rounds
+        assert {r["node"]: r["root"] for r in components(frame, local=local).collect()} == want
     assert components(frame.limit(0)).count() == 0
