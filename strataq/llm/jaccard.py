@@ -95,8 +95,8 @@ def signatures(s: np.ndarray, fill: float) -> tuple[np.ndarray, int, bool]:
 
 
 def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, bool]:
-    # a set needs many marked signatures, so a fifth that are marked by chance do no harm
-    bits = sketch.width_bits(words * 0.55, 1.5)
+    # two to four cells for a key: few enough to broadcast, enough to mark few by chance
+    bits = sketch.width_bits(words * 0.55, 2)
 
     @quiet
     def run(batches):
