@@ -2,31 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 POSITION, GROUP = "__pos", "__rg"
 
 
-def with_position(df: DataFrame, start: int = 0) -> DataFrame:
+def with_position(df: DataFrame, start: int = 0, folder: str | None = None) -> DataFrame:
     """Dense row numbers in the order of partitions and of rows inside them.
 
-    Counts per partition are gathered first (a number for each partition); then every
-    row's number is its partition's offset plus its place, both known to its task.
+    The frame is written once, each row with its partition and its place there, to
+    ``folder`` (one below the checkpoint folder if none is named), which has to stay
+    while the result is read.  Counts per partition (a number for each) and rows are
+    both read from that copy: a second run of the frame may be dealt out otherwise.
     """
+    spark = df.sparkSession
+    folder = folder or f"{_shared(spark)}/placed-{uuid.uuid4().hex}"
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     numbered = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", place)
-    counts = sorted((r["__part"], r["n"]) for r in numbered.groupBy("__part").agg(F.count("*").alias("n")).collect())
+    numbered.write.mode("overwrite").parquet(folder)
+    copy = spark.read.schema(numbered.schema).parquet(folder)
+    counts = sorted((r["__part"], r["n"]) for r in copy.groupBy("__part").agg(F.count("*").alias("n")).collect())
     offset, offsets = start, []
     for part, n in counts:
         offsets.append((part, offset))
         offset += n
-    if not offsets:
-        return df.withColumn(POSITION, F.lit(start).cast("long"))
-    table = df.sparkSession.createDataFrame(offsets, "__part int, __first long")
-    return numbered.join(F.broadcast(table), "__part").withColumn(POSITION, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
+    table = spark.createDataFrame(offsets, "__part int, __first long")
+    return copy.join(F.broadcast(table), "__part").withColumn(POSITION, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
+
+
+def _shared(spark: SparkSession) -> str:
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return named or tempfile.mkdtemp(prefix="placed-")
 
 
 def with_group(df: DataFrame, rows: int, first_position: int = 0, first_group: int = 0) -> DataFrame:

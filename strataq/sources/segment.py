@@ -102,17 +102,20 @@ class SegmentWriter:
             raise Invalid("writer.state", "the dataset is finished")
         began = time.time()
         named = self.schema.check_frame(df)
-        placed = groups.with_position(named, self.rows)
-        placed = groups.with_group(placed, self.layout.group_rows, self.rows, self.groups)
         part = f"{self.path}/data/append-{self.appends:06d}"
+        given = f"{self.path}/given"
         options = {"parquet.block.row.count.limit": str(self.layout.group_rows), "parquet.page.write-checksum.enabled": "true"}
-        ready = placed.repartitionByRange(GROUP).sortWithinPartitions(POSITION)
-        ready.write.mode("overwrite").options(**options, **self._bloom_options()).parquet(part)
         try:
-            rows = self._checked(part)
-        except Invalid:
+            placed = groups.with_position(named, self.rows, given)
+            placed = groups.with_group(placed, self.layout.group_rows, self.rows, self.groups)
+            ready = placed.repartitionByRange(GROUP).sortWithinPartitions(POSITION)
+            ready.write.mode("overwrite").options(**options, **self._bloom_options()).parquet(part)
+            rows = self._checked(part, self.spark.read.parquet(given).count())
+        except (Invalid, Corrupt):
             _delete(self.spark, part)  # nothing of a bad append stays
             raise
+        finally:
+            _delete(self.spark, given)
         if not rows:
             _delete(self.spark, part)
             return
@@ -122,11 +125,17 @@ class SegmentWriter:
         self.metrics.rows, self.metrics.row_groups, self.metrics.appends = self.rows, self.groups, self.appends
         self.metrics.seconds += time.time() - began
 
-    def _checked(self, part: str) -> int:
-        """Rows of an append that was written, if all its values keep the rules."""
+    def _checked(self, part: str, given: int) -> int:
+        """Rows of an append that was written, if they are all that were given, at
+        positions without a gap, and all their values keep the rules."""
         stored = self._stored(part)
         bad = [F.count_if(S.bad_value(f)).alias(S.column(f.id)) for f in self.schema.fields]
-        counts = stored.agg(F.count("*").alias("rows"), *bad).first().asDict()
+        ends = [F.min(POSITION).alias("first"), F.max(POSITION).alias("last")]
+        counts = stored.agg(F.count("*").alias("rows"), *ends, *bad).first().asDict()
+        if counts["rows"] != given:
+            raise Corrupt("writer.rows", f"{counts['rows']} rows written of {given} given")
+        if given and (counts["first"], counts["last"]) != (self.rows, self.rows + given - 1):
+            raise Corrupt("writer.rows", f"positions {counts['first']} to {counts['last']} for {given} rows from {self.rows}")
         for f in self.schema.fields:
             if counts[S.column(f.id)]:
                 raise Invalid("schema.value", f"field {f.name!r}: {counts[S.column(f.id)]} values are null or out of range")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from strataq import schema as S
 from strataq.errors import Corrupt, Invalid, Unsupported
 from strataq.layout import Layout
+from strataq.operators import groups as G
 from strataq.plans.scan import KeyRange, Scan, Test, resolve
 from strataq.schema import Field, Schema
 from strataq.sources.segment import Execution, Segment, SegmentWriter, WriterMetrics, shards
@@ -309,3 +310,21 @@ def test_stream_append(spark, tmp_path):
     each(extra, 7)
     each(extra, 7)  # delivered again
     assert w.finish().read_all().count() == 21
+
+
+def test_append_behind_a_shuffle_keeps_every_row(spark, tmp_path):
+    """Counting and writing may coalesce the shuffle differently; rows went then."""
+    w = SegmentWriter(spark, str(tmp_path / "wide"), SCAN30, Layout(4096, 1024, (1,), (1,)))
+    df = spark.range(150_000).selectExpr("id AS key", "'even' AS category", "CAST(id AS INT) AS score", "CAST(repeat(sha2(string(id), 256), 4) AS BINARY) AS payload")
+    w.append(df.repartition(8).orderBy("key"))
+    assert w.rows == 150_000
+    assert w._stored(f"{w.path}/data").filter(f"{G.POSITION} = {S.column(1)}").count() == 150_000
+
+
+def test_append_refuses_a_loss(spark, tmp_path, monkeypatch):
+    placed = G.with_position
+    monkeypatch.setattr(G, "with_position", lambda *a: placed(*a).filter(f"{G.POSITION} != 3"))
+    w = SegmentWriter(spark, str(tmp_path / "less"), SCAN30, LAYOUT30)
+    with pytest.raises(Corrupt, match="29 rows written of 30"):
+        w.append(frame30(spark))
+    assert w.rows == 0 and sorted(os.listdir(tmp_path / "less" / "data")) == ["none"]
