@@ -29,8 +29,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataq.llm import sketch
 from strataq.llm.graph import components, cut, shelve
@@ -120,10 +121,12 @@ def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, b
 
 
 def _described(rows: DataFrame, twice, fill: float) -> DataFrame:
-    """(doc_id, n_shingles, node, least, sigs, set) of every row; node is null for an
-    empty set.  The signatures that may be shared and the set itself come with the
+    """(doc_id, n_shingles, node, least, sigs, set) of every row, between them the
+    columns behind the text; node is null for an empty set.  The signatures that may be shared and the set itself come with the
     first row of a node in a task, if there are enough of the former to link."""
 
+    keep = rows.columns[2:]
+
     @quiet
     def run(batches):
         seen: set[int] = set()
@@ -142,11 +145,12 @@ def _described(rows: DataFrame, twice, fill: float) -> DataFrame:
                             least, sigs = None, None
                     out.append((len(s), node, least, None if sigs is None else sigs.view(np.int64), None if sigs is None else s.tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]],
-                    names=["doc_id", "n_shingles", "node", "least", "sigs", "set"],
+                    [part.column(0), *part.columns[2:], *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]],
+                    names=["doc_id", *keep, "n_shingles", "node", "least", "sigs", "set"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, least int, sigs array<long>, set binary")
+    schema = rows.select("doc_id", *keep).schema.add("n_shingles", "long").add("node", "long").add("least", "integer")
+    return rows.mapInArrow(run, schema.add("sigs", T.ArrayType(T.LongType())).add("set", "binary"))
 
 
 def _forest(n: int, a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -294,9 +298,10 @@ def links(described: DataFrame) -> DataFrame:
     return classes if more.isEmpty() else components(found.unionByName(more))
 
 
-def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _classes(docs: DataFrame, *keep: Column) -> DataFrame:
+    """doc_id, ``keep``, n_shingles and class of every row; class is null for an
+    empty set."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     fill = FILL
     while True:
@@ -306,7 +311,13 @@ def _placed(docs: DataFrame) -> DataFrame:
         fill /= 2  # never seen; keeps the join exact
     described = shelve(_described(rows, rows.sparkSession.sparkContext.broadcast(marks), fill))
     classes = links(described)
-    placed = described.select("doc_id", "n_shingles", "node").join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("root", "node").alias("class"))
+    names = ["doc_id", *rows.columns[2:], "n_shingles"]
+    return described.select(*names, "node").join(classes, "node", "left").select(*names, F.coalesce("root", "node").alias("class"))
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, class and component_id of every row."""
+    placed = _classes(docs)
     least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
 
@@ -322,18 +333,19 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one of the smallest id, with all its columns.
+    """One row of each component, with all its columns: of the rows of the smallest
+    id the one whose text has the smallest hash.
 
-    Rows without words and rows with a null id stay.  Of rows that share an id one
-    stays for each id that names a component.
+    Rows without words and rows with a null id stay.  Ids may repeat: a component is
+    settled by the text alone, so id and text name its row, and of rows that share
+    both one stays.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    named = docs.filter("doc_id IS NOT NULL")
-    stay = _placed(named).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("k")).agg(F.count("*").alias("n"))
-    kept = rows.join(stay, "k")
-    if not stay.filter("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["k"])
-    return kept.select("row.*").unionByName(docs.filter("doc_id IS NULL"))
+    text = F.col("text").cast("string")
+    apart = F.col("doc_id").isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named, h = docs.filter(~apart), F.xxhash64(text).alias("h")
+    rows = named.select(F.col("doc_id").cast("long").alias("k"), h, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    first = _classes(named, h).groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("k"), "h")).alias("m")).select("m.*")
+    return rows.join(first, ["k", "h"]).dropDuplicates(["k", "h"]).select("row.*").unionByName(docs.filter(apart))
 
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

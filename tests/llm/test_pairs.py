@@ -85,6 +85,18 @@ def test_jaccard_edges(spark, docs):
     assert sorted(kept, key=str) == [5, None, None]
 
 
+def test_representatives_of_repeated_ids(spark, docs):
+    """Unlinked texts of one id both stay; a near copy goes whatever other ids do."""
+    rng = random.Random(11)
+    long = [words(rng, 40) for _ in range(4)]
+    near = long[2] + " tail"  # a copy of 12's text under the id of another component
+    rows = [(5, long[0]), (5, long[1]), (9, long[1]), (12, long[2]), (20, near), (20, long[3]), (30, ""), (30, " \t"), (30, None)]
+    want = sorted([(5, long[0]), (5, long[1]), (12, long[2]), (20, long[3]), (30, ""), (30, " \t"), (30, None)], key=str)
+    for some, left in ((rows, want), (rows[3:], [r for r in want if r[0] != 5])):
+        got = [(r["doc_id"], r["text"]) for r in jaccard.representatives(docs(some)).collect()]
+        assert sorted(got, key=str) == left
+
+
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(4)
     for n in (5, 30, 64, 65, 70, 100, 128, 129, 300, 1000):
