@@ -9,16 +9,24 @@ loops.  The gadget for merge ``(u, v) -> w``
 * redirects ``u`` into a copy of its target state that has lost the arc ``v``.
 
 A target state depends on the arc label alone, so a state is named by its last
-token.  Copies are shared instead of materialised: a state keeps only the arcs
-*it* lost (``lost[u][v] = rank``); the arcs it inherited are those of its right
-child as they stood when the state was created, and an arc ``w`` exists where
-the arc of its left child existed when ``w`` was created.  ``has_arc`` reads a
-transition from this table and the transitions met are memoised.
-
-The only path of arcs that spells a word is its BPE tokenization.  Encoding
-finds it in one pass over the word: the last arc of every prefix is the longest
-token ending there that is an arc out of the state the rest of the prefix leads
-to.  Decoding emits the arc labels.
+token and the arc ``y`` leads to state ``y``; a row of the transition table has to
+tell only which arcs a state has lost.  While gadgets are added, a state keeps the
+arcs *it* lost (``lost[u][v] = rank``), those of its right child as they stood when
+the state was created are inherited, and an arc ``w`` exists where the arc of its
+left child existed when ``w`` was created.
+
+``compile`` then writes out the rows.  Labels are numbered in preorder of the tree
+of left children, latest child first, so that losing ``v`` at some rank loses one
+interval of numbers: ``v`` itself and the subtrees of its later children.  A row is
+the sorted list of its disjoint intervals, and all rows lie end to end in two
+integer arrays, some 10 MB for 50,000 tokens.  A transition is a search in a row.
+
+The only path of arcs that spells a word is its BPE tokenization, and the same holds
+for each of its prefixes.  Encoding therefore steps from the state of one prefix to
+that of the next: the state after a prefix is its longest ending label that is an arc
+out of the state that the prefix without it leads to.  ``step`` reads the transitions
+of many words at once; words of a batch are sorted, so that a prefix that several of
+them share is stepped over once.  Decoding emits the arc labels.
 """
 
 from __future__ import annotations
@@ -29,7 +37,10 @@ import json
 import re
 import sys
 import unicodedata
+from array import array
+from bisect import bisect_right
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
@@ -40,8 +51,10 @@ from strataq.llm.workers import quiet
 
 NEVER = 1 << 30
 END = "\n"  # one character for the end-of-word mark inside the automaton
-CACHE_WORDS = 400_000  # words a task keeps; the table is emptied beyond
-MEMO = 400_000  # transitions of the automaton that a worker remembers
+TABLE_BYTES = 48_000_000  # words a worker keeps from task to task; emptied beyond
+SYMBOLS = 1 << 9  # byte symbols and the end mark lie below
+TOGETHER = 1 << 21  # symbols of words that are stepped over together
+FEW, LONG = 24, 64  # fewer words, or words of more symbols, are stepped over one by one
 
 # The pre-tokenizer pattern of the vocabulary file; {L}, {N} and {S}
 # stand for the characters of Unicode letters, numbers and white space.
@@ -117,20 +130,17 @@ class MergeAutomaton:
             if self.lost[u] is None:
                 self.lost[u] = {}
             self.lost[u][v] = rank
-        # Reversed-token trie; key "" holds the token that ends at the node.
-        self.trie: dict = {}
+        self.spans, self.high = self.compile()
+        labels = {}  # token -> label, as spelled in a word
         for token, i in vocab.items():
             base = token.removesuffix(suffix) if suffix else token
-            if len(base) > 1 and i not in made:
-                continue
-            node = self.trie
-            for ch in reversed(base + END if base != token else token):
-                node = node.setdefault(ch, {})
-            node[""] = i
-        self.memo: dict[int, bool] = {}
+            if len(base) == 1 or i in made:
+                labels[i] = base + END if base != token else token
+        self.tree, self.edges, self.next, self.ends = self.endings(labels)
+        self.one = array("q", self.spans.tolist()), array("i", self.high.tolist()), self.number.tolist(), self.ends.tolist()
 
     def has_arc(self, x: int, y: int) -> bool:
-        """Whether state ``x`` (named by its last token) has the arc ``y``."""
+        """Whether state ``x`` has the arc ``y``, read from the gadgets so far."""
         left, right, born, lost = self.left, self.right, self.born, self.lost
         until_x = NEVER
         while True:
@@ -148,56 +158,173 @@ class MergeAutomaton:
                 return True
             until_x, x = born[x], right[x]
 
-    def words(self, spelled: list[str]):
-        """Ids of each word, given as byte symbols without the end mark.
-
-        Prefixes shared with the word before are not read again, so sorted words
-        cost the symbols in which neighbours differ.
-        """
-        memo, trie, suffix, has_arc = self.memo, self.trie, bool(self.suffix), self.has_arc
-        last, start = [0], [0]
-        before, known = "", 0  # positions 1..known of last/start hold for ``before``
-        for word in spelled:
-            n = len(word)
-            k, most = 0, min(known, n)
-            while k < most and word[k] == before[k]:
-                k += 1
-            if len(memo) > MEMO:
-                memo.clear()
-            del last[k + 1 :], start[k + 1 :]
-            inner = n - 1 if suffix else n
-            if k > inner:
-                k = max(inner, 0)
-                del last[k + 1 :], start[k + 1 :]
-            for end in range(k + 1, n + 1):
-                node, found, p = trie, [], end - 1
-                if end > inner:
-                    node = trie[END]
-                while p >= 0:
-                    node = node.get(word[p])
-                    if node is None:
+    def compile(self) -> tuple[np.ndarray, np.ndarray]:
+        """The transition table: ``spans`` holds ``state << 17 | low`` in order and
+        ``high`` the end of each span; a state has lost the labels numbered ``low`` to
+        ``high - 1``.  ``number`` has the number of each label."""
+        left, right, born, lost = self.left, self.right, self.born, self.lost
+        n = len(left)
+        later: list[list[int]] = [[] for _ in range(n)]  # children, latest first
+        for i in sorted(range(n), key=born.__getitem__, reverse=True):
+            if left[i] >= 0:
+                later[left[i]].append(i)
+        number, end = [0] * n, [0] * n
+        at = 0
+        stack = [i for i in range(n) if left[i] < 0]
+        while stack:
+            i = stack.pop()
+            if i < 0:
+                end[~i] = at
+                continue
+            number[i] = at
+            at += 1
+            stack.append(~i)
+            stack += reversed(later[i])
+        self.number = np.array(number)
+        cut: list[list[tuple[int, int, int]]] = []  # per state (rank, low, high) of its own losses
+        for arcs in lost:
+            own = []
+            for v, rank in (arcs or {}).items():
+                high = number[v] + 1
+                for c in later[v]:
+                    if born[c] < rank:
                         break
-                    if "" in node:
-                        found.append((p, node[""]))
-                    p -= 1
-                for p, token in reversed(found):
-                    if p:
-                        key = last[p] << 17 | token
-                        ok = memo.get(key)
-                        if ok is None:
-                            ok = memo[key] = has_arc(last[p], token)
-                        if not ok:
-                            continue
-                    last.append(token)
-                    start.append(p)
+                    high = end[c]
+                own.append((rank, number[v], high))
+            cut.append(own)
+        low, high = [], []
+        for x in range(n):
+            spans, until, y = [], NEVER, x
+            while y >= 0:
+                if cut[y]:
+                    spans += [(a, b) for rank, a, b in cut[y] if rank < until]
+                until, y = born[y], right[y]
+            spans.sort()
+            last = -1
+            for a, b in spans:
+                if a <= last:
+                    high[-1] = last = max(b, last)
+                else:
+                    low.append(x << 17 | a)
+                    high.append(b)
+                    last = b
+        return np.array(low, np.int64), np.array(high, np.int64)
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the table has a transition from states ``x`` by labels ``y``."""
+        at = self.number[y]
+        k = np.searchsorted(self.spans, x << 17 | at, "right") - 1
+        return (k < 0) | (self.spans[k] >> 17 != x) | (at >= self.high[k])
+
+    @staticmethod
+    def endings(labels: dict[int, str]):
+        """The labels read backwards as a tree: a map from ``node * SYMBOLS + symbol`` to
+        the next node, the same as two arrays, and the token that a node spells or -1."""
+        edges: dict[int, int] = {}
+        ends = [-1]
+        for i, label in labels.items():
+            node = 0
+            for ch in reversed(label):
+                key = node * SYMBOLS + ord(ch)
+                node = edges.get(key, -1)
+                if node < 0:
+                    node = edges[key] = len(ends)
+                    ends.append(-1)
+            ends[node] = i
+        keys = np.array(sorted(edges), np.int64)
+        return edges, keys, np.array([edges[k] for k in keys.tolist()], np.int64), np.array(ends, np.int64)
+
+    def words(self, spelled) -> list[list[int]]:
+        """Ids of each word, given as byte symbols without the end mark."""
+        words = [w + END for w in spelled] if self.suffix else list(spelled)
+        by_size: dict[int, list[str]] = {}
+        for w in words:
+            by_size.setdefault(max(3, (len(w) - 1).bit_length()), []).append(w)
+        out: dict[str, list[int]] = {}
+        for bits, some in by_size.items():
+            if len(some) < FEW or 1 << bits > LONG:
+                out.update((w, self._path(w)) for w in some)
+                continue
+            some.sort()
+            step = max(1, TOGETHER >> bits)
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                out.update(zip(part, self._paths(part, max(map(len, part)))))
+        return [out[w] for w in words]
+
+    def _path(self, word: str) -> list[int]:
+        """Labels of the path of one word."""
+        tree, (spans, high, number, ends) = self.tree, self.one
+        last, begin = [0], [0]
+        for end in range(1, len(word) + 1):
+            node, state, start = 0, 0, 0
+            for at in range(end - 1, -1, -1):
+                node = tree.get(node * SYMBOLS + ord(word[at]), -1)
+                if node < 0:
+                    break
+                token = ends[node]
+                if token < 0:
+                    continue
+                if at:
+                    x, y = last[at], number[token]
+                    k = bisect_right(spans, x << 17 | y) - 1
+                    if k >= 0 and spans[k] >> 17 == x and y < high[k]:
+                        continue
+                state, start = token, at
+            last.append(state)
+            begin.append(start)
+        path, at = [], len(word)
+        while at:
+            path.append(last[at])
+            at = begin[at]
+        return path[::-1]
+
+    def _paths(self, words: list[str], wide: int) -> list[list[int]]:
+        """Labels of the path of each word; the words are sorted and not empty."""
+        n = len(words)
+        rows = np.arange(n)
+        size = np.fromiter(map(len, words), np.int64, n)
+        symbol = np.frombuffer("".join([w.ljust(wide, "\0") for w in words]).encode("utf-16-le"), np.uint16).reshape(n, wide)
+        shared = np.zeros(n, np.int64)  # symbols in common with the word before
+        if n > 1:
+            differ = symbol[1:] != symbol[:-1]
+            shared[1:] = np.where(differ.any(1), differ.argmax(1), wide)
+        last = np.zeros((wide + 1, n), np.int32)  # state after each prefix
+        begin = np.zeros((wide + 1, n), np.int32)  # where its last label begins
+        for end in range(1, wide + 1):
+            own = (shared < end) & (size >= end)
+            mine = np.flatnonzero(own)
+            if not len(mine):
+                break
+            state, start = np.zeros(len(mine), np.int64), np.zeros(len(mine), np.int64)
+            who, node = np.arange(len(mine)), np.zeros(len(mine), np.int64)
+            for at in range(end - 1, -1, -1):
+                key = node * SYMBOLS + symbol[mine[who], at]
+                k = np.searchsorted(self.edges, key)
+                k[k == len(self.edges)] = 0
+                on = self.edges[k] == key
+                who, node = who[on], self.next[k[on]]
+                if not len(who):
                     break
-            out, end = [], n
-            while end:
-                out.append(last[end])
-                end = start[end]
-            out.reverse()
-            yield out
-            before, known = word, inner
+                token = self.ends[node]
+                t = np.flatnonzero(token >= 0)
+                if at and len(t):
+                    t = t[self.step(last[at, mine[who[t]]].astype(np.int64), token[t])]
+                state[who[t]], start[who[t]] = token[t], at
+            # a word that shares the prefix has it from the first word that spells it
+            first = np.maximum.accumulate(np.where(own, rows, 0))
+            place = np.zeros(n, np.int64)
+            place[mine] = np.arange(len(mine))
+            last[end], begin[end] = state[place[first]], start[place[first]]
+        path, at = [], size.copy()
+        while (live := at > 0).any():
+            path.append(np.where(live, last[at, rows], -1))
+            at = np.where(live, begin[at, rows], 0)
+        flat = np.stack(path[::-1], axis=1) if path else np.zeros((n, 0), np.int64)
+        keep = flat >= 0
+        ends = np.cumsum(keep.sum(1)).tolist()
+        ids = flat[keep].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class WordBpe:
@@ -239,12 +366,6 @@ class WordBpe:
         text = text.lower()
         return unicode_words()(text) if self.beyond_latin(text) else self.latin_words(text)
 
-    def ids_of(self, piece: str) -> list[int]:
-        i = self.special.get(piece)
-        if i is not None:
-            return [i]
-        return next(self.automaton.words([self.spelled(piece)]))
-
     def spelled(self, piece: str) -> str:
         if piece.isascii() and piece.isprintable():
             return piece  # printable ASCII stands for itself
@@ -252,13 +373,15 @@ class WordBpe:
         return "".join([s[b] for b in piece.encode("utf-8", "surrogatepass")])
 
     def ids_of_all(self, pieces):
-        """``(piece, ids)`` of distinct pieces, in the order that shares prefixes."""
-        plain = sorted((self.spelled(w), w) for w in pieces if w not in self.special)
-        yield from zip((w for _, w in plain), self.automaton.words([s for s, _ in plain]))
+        """``(piece, ids)`` of distinct pieces."""
+        plain = [w for w in pieces if w not in self.special]
+        yield from zip(plain, self.automaton.words(map(self.spelled, plain)))
         yield from ((w, [self.special[w]]) for w in pieces if w in self.special)
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for w in self.pieces(text or "") for i in self.ids_of(w)]
+        pieces = self.pieces(text or "")
+        known = dict(self.ids_of_all(set(pieces)))
+        return [i for w in pieces for i in known[w]]
 
     def decode(self, ids) -> str:
         """Emit the arc labels, joined by one space as a tokenizer without decoder does."""
@@ -272,16 +395,17 @@ def load(path: str) -> WordBpe:
 
 
 class WordTable(dict):
-    """word -> ``make(ids)``, filled for a batch of texts at a time."""
+    """word -> ``make(ids)``, filled for a batch of texts at a time and kept from task
+    to task; emptied when its entries take more than ``TABLE_BYTES``."""
 
     def __init__(self, path: str, make):
         super().__init__()
-        self.bpe, self.make = load(path), make
+        self.bpe, self.make, self.size = load(path), make, 0
 
     def rows(self, texts: list[str | None], chars: int = 4_000_000):
         """For each text the list of its words' entries; distinct words are encoded
-        once for every ``chars`` characters of text."""
-        pieces, make = self.bpe.pieces, self.make
+        once for every ``chars`` characters of text at most."""
+        pieces, make, entry = self.bpe.pieces, self.make, self.__getitem__
         at = 0
         while at < len(texts):
             group, size = [], 0
@@ -289,13 +413,18 @@ class WordTable(dict):
                 group.append(pieces(texts[at] or ""))
                 size += len(texts[at] or "")
                 at += 1
-            if len(self) > CACHE_WORDS:
+            if self.size > TABLE_BYTES:
                 self.clear()
-            new = {w for words in group for w in words if w not in self}
-            for w, ids in self.bpe.ids_of_all(new):
-                self[w] = make(ids)
+                self.size = 0
+            for w, ids in self.bpe.ids_of_all(set().union(*group).difference(self)):
+                made = self[w] = make(ids)
+                self.size += 160 + len(w) + self.weight(made)
             for words in group:
-                yield [self[w] for w in words]
+                yield list(map(entry, words))
+
+    @staticmethod
+    def weight(made) -> int:
+        return len(made) if isinstance(made, bytes) else 180 + len(made[1]) + len(made[2])
 
 
 @functools.lru_cache(maxsize=2)
@@ -329,8 +458,10 @@ def encode_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 def digest_table(docs: DataFrame, path: str) -> DataFrame:
     """Per document: token count and SHA-256 of the ids and of the decoded text.
 
-    Null text: empty.  No shuffle; each task holds one Arrow batch and a bounded
-    cache of words, so a lost executor costs its running tasks only.
+    Null text: empty; a null id stays null; repeated rows stay repeated; an empty
+    table gives no rows; further columns are not read; a text of any length is one
+    row.  No shuffle; each task holds one Arrow batch and a bounded table of words, so
+    a lost executor costs its running tasks only.
     """
 
     @quiet
@@ -348,7 +479,6 @@ def digest_table(docs: DataFrame, path: str) -> DataFrame:
                     [part.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
-        table.clear()
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, DIGEST_SCHEMA)
 

@@ -169,7 +169,6 @@ def pack(docs: DataFrame, path: str, keep_ids: bool = False) -> DataFrame:
             yield rows(full)
         if rests:
             yield rows(settle(rests, number)[0])
-        table.clear()
 
     return docs.selectExpr("CAST(doc_id AS LONG) AS doc_id", "CAST(text AS STRING) AS text").mapInArrow(run, schema)
 

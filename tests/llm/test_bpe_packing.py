@@ -116,3 +116,28 @@ def test_differencing_is_a_partition():
     assert packing.deal(np.array([5]))[1] == 1
     at, n = packing.deal(np.full(10, 3000))
     assert n == 10 and len(set(at)) == 10  # the count rises until nothing exceeds the capacity
+
+
+def test_the_table_holds_what_the_gadgets_say():
+    rng = np.random.default_rng(1)
+    a = MINE.automaton
+    x, y = rng.integers(0, 49_406, (2, 100_000))
+    assert a.step(x, y).tolist() == [a.has_arc(*p) for p in zip(x.tolist(), y.tolist())]
+
+
+def test_words_alone_and_together_take_the_same_path():
+    rng = random.Random(8)
+    many = list({"".join(rng.choices("aeinrstht'", k=rng.randint(1, 90))) for _ in range(2000)})
+    together = MINE.automaton.words(many)
+    assert together == [MINE.automaton.words([w])[0] for w in many]
+    texts = [w.replace("'", "") for w in many]
+    assert [MINE.encode(t) for t in texts] == [e.ids for e in THEIRS.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_table_that_is_emptied_gives_the_same(monkeypatch):
+    rng = random.Random(9)
+    texts = [words(rng, 200) for _ in range(30)]
+    want = [MINE.encode(t) for t in texts]
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 1000)
+    table = bpe.WordTable(PATH, lambda ids: np.array(ids, "<u4").tobytes())
+    assert [np.frombuffer(b"".join(r), "<u4").tolist() for r in table.rows(texts, 500)] == want
