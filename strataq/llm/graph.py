@@ -41,6 +41,20 @@ def _read_back(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+HOT_SHARE = 10_000  # a key is hot with more than one of so many rows; there are fewer such keys
+
+
+def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], copies: str) -> DataFrame:
+    """Left join of ``rows`` with a table that has one row for each key and the number
+    of ``rows`` that hold it, so that no key makes a hot task: rows of hot keys meet a
+    broadcast table of at most HOT_SHARE rows.  A null key meets nothing."""
+    total = named.agg(F.sum(copies)).first()[0] or 0
+    hot = F.col(copies) > max(1000, total // HOT_SHARE)
+    few = F.broadcast(named.filter(hot).drop(copies))
+    others = rows.join(F.broadcast(named.filter(hot).select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(others.join(named.filter(~hot).drop(copies), keys, "left"))
+
+
 LOCAL = 1_000_000  # edges that one task contracts at once
 
 

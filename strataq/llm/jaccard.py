@@ -2,26 +2,30 @@
 
 A document's set are the hashes of its distinct 5-word shingles; documents of equal
 sets are one node.  Sets fall into bands of size (a band's upper end is twice its
-lower).  A band partitions the shingle domain by hash into ``m`` parts; the
-signature of a set for a part is the hash of its shingles in that part, and only
-parts that aren't empty are enumerated.  Two sets that link differ in at most
-(|A| + |B|) / 9 shingles, hence in at most that many parts; ``m`` is so large that
-the larger set has more parts that aren't empty, so linked sets share a signature.
-A set also enumerates the band of sets a quarter larger.  Small sets have one part
-for each shingle.  Should some set still have too few parts, the whole join runs
-again with more of them, so that no link is lost.
-
-The same bound says how many signatures ``g`` a set shares with any set it links
-with.  This prunes exactly: a count-min sketch of all signatures marks those that
-two tasks or nodes may share, and a set with fewer than ``g`` marked ones (a
-document that only shares a passage) sends nothing.  Of the rest, the rarest
-``c - g + 1`` of a set's ``c`` shared signatures are kept; linked sets share one.
-
-Sets that are connected by kept signatures form a cluster.  No pairs are spelled
-out: a cluster is split into blocks of bounded size, a task counts the shared
-shingles of one block with another through an index of the block, and sends the
-edges of a spanning forest.  First every block meets itself.  Then, in clusters that
-are still in several pieces, the sets outside the largest piece meet all others.
+lower).  A band partitions the shingle domain by hash into groups of three parts and
+enumerates the subsets of two parts of each group: a signature is the hash of a set's
+shingles in two parts of a group, and is left out where both are empty.  Two sets that
+link differ in at most (|A| + |B|) / 9 shingles, hence in at most that many parts; a
+group keeps a signature as long as one of its parts differs at most, and groups are so
+many that linked sets always share one.  A set also enumerates the band of sets a
+quarter larger.  Sets up to SMALL have one part for each shingle.  Should some set
+still have too few parts, all sets are signed again with more of them, so that no link
+is lost.
+
+The same bound says how many signatures ``g`` a set shares with any set it links with.
+The owners of ranges of signatures (``ranges``) tell each set which of its signatures
+other sets have; with fewer than ``g`` of them (a document that only shares a passage)
+it links with nothing, and of ``c`` it keeps the first ``c - g + 1`` in an order that is
+the same everywhere, so that linked sets keep a common one.  Both prune exactly.
+
+Sets that are connected by kept signatures form a cluster.  Their texts are read once
+more.  No pairs are spelled out: a cluster is split into blocks of bounded size, a task
+looks up the shingles of each set among those of a block, and sends the edges of a
+forest.  First every block meets itself, twice, dealt differently.  Then, in clusters
+that are still in several pieces, the sets outside the largest piece visit the blocks
+that hold a set with a signature of theirs.  Rows sent grow with these visits; a
+cluster of many sets that share signatures but don't link is the worst case, since
+then every set visits most blocks.
 """
 
 from __future__ import annotations
@@ -29,20 +33,28 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strataq.llm import sketch
-from strataq.llm.graph import components, cut, shelve
+from strataq.llm.graph import components, cut, join_spread, shelve
+from strataq.llm.ranges import SENT, Sender, answered, concatenated, ranges_for
 from strataq.llm.sketch import mix
 from strataq.llm.wordbatch import Words, slices, windows
 from strataq.llm.workers import quiet
 
 SHINGLE = 5
-SMALL = 64  # sets up to this size have one part for each shingle
-FILL = 3.0  # shingles in a part at the upper end of a band
+SMALL = 16  # sets up to this size have one part for each shingle
+SUBSETS = ((0, 1), (1, 2), (0, 2))  # of the three parts of a group, any two
+SIGNATURES = 0.75  # of a set for each of its shingles, about
 BLOCK = 200_000  # shingles of a cluster in one block
+NO_ID = -(2**63)  # stands for a null id in row keys
+THIN = -(2**63)  # the item that is told of sets with too few parts
+
+
+def groups_of(band: int, finer: int = 1) -> int:
+    """Groups of parts of a band: at its upper end a part has 2 to 2.4 shingles."""
+    upper = SMALL << band
+    return -(-upper * finer // (6 if upper <= 128 else 7))
 
 
 def sets_of(texts: pa.Array):
@@ -61,9 +73,9 @@ def sets_of(texts: pa.Array):
                 yield mix(windows(words.values[a:b], b - a) + np.uint64(b - a)) if b > a else words.values[:0]
 
 
-def node_of(s: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    both = np.array([mix(s).sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 % 2**64)], np.uint64)
+def node_of(s: np.ndarray, seed: int = 0) -> int:
+    """Signed 64-bit name of a set; another one for another seed."""
+    both = np.array([mix(s ^ np.uint64(seed * 0xA0761D6478BD642F % 2**64)).sum(dtype=np.uint64) ^ np.uint64(len(s) * 0x9E3779B97F4A7C15 % 2**64)], np.uint64)
     return int(mix(both).view(np.int64)[0])
 
 
@@ -71,255 +83,329 @@ def band_of(size: int) -> int:
     return (size - 1).bit_length() - SMALL.bit_length() + 1 if size > SMALL else 0
 
 
-def signatures(s: np.ndarray, fill: float) -> tuple[np.ndarray, int, bool]:
+def signatures(s: np.ndarray, finer: int = 1) -> tuple[np.ndarray, int, bool]:
     """(signatures, least number of them shared with a set this one links with,
-    whether the set has parts enough in its own band)."""
+    whether that number is above 0 for the set as the larger one of a pair)."""
     n = len(s)
     out, enough, least = [], True, n
     for band in sorted({band_of(n), band_of(n + n // 4)}):
         h = mix(s ^ np.uint64((band + 1) * 0xD6E8FEB86659FD93 % 2**64))
-        filled = n
+        had = kinds = triples = 0
         if band:
-            # the part is the upper half of the hash, scaled: sorting by hash sorts by part
-            h.sort()
-            part = ((h >> np.uint64(32)) * np.uint64(int((SMALL << band) / fill))) >> np.uint64(32)
+            groups = groups_of(band, finer)
+            # the part is the upper half of the hash, scaled
+            part = ((h >> np.uint64(32)) * np.uint64(3 * groups)) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            part, h = part[order], h[order]
             edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            filled = len(edges)
-            h = mix(np.add.reduceat(h, edges) ^ (part[edges] << np.uint64(40)))
+            filled = np.zeros(3 * groups, bool)
+            filled[part[edges]] = True
+            total = np.zeros(3 * groups, np.uint64)
+            total[part[edges]] = np.add.reduceat(h, edges)
+            filled, total = filled.reshape(-1, 3), total.reshape(-1, 3)
+            number = np.arange(groups, dtype=np.uint64) << np.uint64(40)
+            h = np.concatenate([mix((total[:, i] + np.uint64(k) ^ number) + total[:, j])[filled[:, i] | filled[:, j]] for k, (i, j) in enumerate(SUBSETS, 1)])
+            had, count = len(h), filled.sum(1)
+            kinds, triples = int((count > 0).sum()), int((count > 1).sum())
         out.append(h)
+
+        def shared(differ: int) -> int:
+            """Signatures left when so many parts differ: a group's first takes two of
+            its three signatures at most, its second the third."""
+            if not band:
+                return n - differ
+            return had - 2 * min(differ, kinds) - min(max(differ - kinds, 0), triples)
+
         # as the larger set of a pair it differs in 2n/9 parts at most, as the
         # smaller in n/4
         if band == band_of(n):
-            enough = filled > 2 * n // 9
-        least = min(least, filled - n // 4)
+            enough = shared(2 * n // 9) > 0
+        least = min(least, shared(n // 4))
     return np.concatenate(out) if len(out) > 1 else out[0], max(1, least), enough
 
 
-def _sketch(rows: DataFrame, words: float, fill: float) -> tuple[sketch.Twice, bool]:
-    # two to four cells for a key: few enough to broadcast, enough to mark few by chance
-    bits = sketch.width_bits(words * 0.55, 2)
+def _sent(rows: DataFrame, ranges: int, finer: int) -> DataFrame:
+    """Signatures of every set on their way to the owners of their ranges, and for each
+    set the least number it shares; a set that has too few parts tells item -1."""
 
     @quiet
     def run(batches):
-        mine, seen, thin = sketch.Partial(bits), set(), 0
+        mine, seen = Sender(ranges), set()
         for b in batches:
             for s in sets_of(b.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:  # copies in one task count once
+                if len(s) and (node := node_of(s)) not in seen:  # copies in one task send once
                     seen.add(node)
-                    sigs, _, enough = signatures(s, fill)
-                    mine.add(sigs)
-                    thin += not enough
+                    sigs, least, enough = signatures(s, finer)
+                    mine.add(node, sigs)
+                    mine.tell(node, least)
+                    if not enough:
+                        mine.tell(THIN, 0)
                     if mine.full():
-                        yield sketch.batch(mine.rows())
+                        yield mine.batch()
         if mine.size:
-            yield sketch.batch(mine.rows())
-        if thin:
-            yield sketch.batch([(-1, b"")])
+            yield mine.batch()
+
+    return rows.select("text").mapInArrow(run, SENT)
+
 
-    thin: list[bool] = []
-    return sketch.merge(rows.select("text").mapInArrow(run, sketch.SCHEMA), bits, thin), bool(thin)
+def _kept(answers: DataFrame) -> DataFrame:
+    """(sig, node): of a node's ``c`` shared signatures the first ``c - g + 1``, if it
+    has the ``g`` that it needs to link at all.  Signatures are in the order of their
+    names everywhere, so linked sets keep one that both have."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for node, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                names = concatenated(packed)
+                k = np.searchsorted(names, np.uint64(1 << 63))
+                least = int(names[k:].min() - np.uint64(1 << 63)) if k < len(names) else 1
+                if k >= least:
+                    out.append((names[: k - least + 1], node))
+            if out:
+                sigs, nodes = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]))], names=["sig", "node"]
+                )
 
+    return answers.groupBy("item").agg(F.collect_list("names").alias("names")).mapInArrow(run, "sig long, node long")
 
-def _described(rows: DataFrame, twice, fill: float) -> DataFrame:
-    """(doc_id, n_shingles, node, least, sigs, set) of every row, between them the
-    columns behind the text; node is null for an empty set.  The signatures that may be shared and the set itself come with the
-    first row of a node in a task, if there are enough of the former to link."""
 
+def _described(rows: DataFrame) -> DataFrame:
+    """(doc_id, columns behind the text, n_shingles, node, check) of every row; node and
+    check, two 64-bit names of the set, are null for an empty one."""
     keep = rows.columns[2:]
 
     @quiet
     def run(batches):
-        seen: set[int] = set()
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
         for b in batches:
             for start, stop in slices(b.column(1)):
-                part, out = b.slice(start, stop - start), []
-                for s in sets_of(part.column(1)):
-                    node = node_of(s) if len(s) else None
-                    least, sigs = None, None
-                    if node is not None and node not in seen:
-                        seen.add(node)
-                        sigs, least, _ = signatures(s, fill)
-                        sigs = sigs[twice.value(sigs)]
-                        if len(sigs) < least:
-                            least, sigs = None, None
-                    out.append((len(s), node, least, None if sigs is None else sigs.view(np.int64), None if sigs is None else s.tobytes()))
+                part = b.slice(start, stop - start)
+                out = [(len(s), node_of(s), node_of(s, 1)) if len(s) else (0, None, None) for s in sets_of(part.column(1))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *part.columns[2:], *[pa.array(list(c), k) for c, k in zip(zip(*out), kinds)]],
-                    names=["doc_id", *keep, "n_shingles", "node", "least", "sigs", "set"],
+                    [part.column(0), *part.columns[2:], *[pa.array(list(c), pa.int64()) for c in zip(*out)]],
+                    names=["doc_id", *keep, "n_shingles", "node", "check"],
                 )
 
-    schema = rows.select("doc_id", *keep).schema.add("n_shingles", "long").add("node", "long").add("least", "integer")
-    return rows.mapInArrow(run, schema.add("sigs", T.ArrayType(T.LongType())).add("set", "binary"))
+    schema = rows.select("doc_id", *keep).schema.add("n_shingles", "long").add("node", "long").add("check", "long")
+    return rows.mapInArrow(run, schema)
 
 
-def _forest(n: int, a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Edges among (a, b) that connect what they all connect."""
-    root = list(range(n))
+class Block:
+    """Sets held in a task, looked up by shingle."""
 
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner = flat[order], np.repeat(np.arange(len(sets)), self.size)[order]
 
-    out = []
-    for x, y in zip(a, b):
-        p, q = find(x), find(y)
-        if p != q:
-            root[q] = p
-            out.append((x, y))
-    return out
-
-
-def linked(first: list[np.ndarray], second: list[np.ndarray], percent: int = 80):
-    """For each set of ``first`` the places of the sets of ``second`` it links with."""
-    size = np.array([len(s) for s in second])
-    flat = np.concatenate(second)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], np.repeat(np.arange(len(second)), size)[order]
-    for s in first:
-        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+    def linked(self, s: np.ndarray, percent: int = 80) -> np.ndarray:
+        """Places of the sets that ``s`` links with."""
+        low, high = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
         count = high - low
         on = count > 0
         low, count = low[on], count[on]
         if not len(low):
-            yield np.zeros(0, np.int64)
-            continue
+            return np.zeros(0, np.int64)
         at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        same = np.bincount(owner[at], minlength=len(second))
-        yield np.flatnonzero((same > 0) & (100 * same >= percent * (len(s) + size - same)))
+        same = np.bincount(self.owner[at], minlength=len(self.size))
+        return np.flatnonzero((same > 0) & (100 * same >= percent * (len(s) + self.size - same)))
 
 
-def _met(groups: DataFrame) -> DataFrame:
-    """(a, b): a spanning forest of the links found in each group of two blocks.  Rows
-    come sorted by group; ``outside`` marks the sets that have to meet all others."""
+class Met:
+    """Links in one block, as the edges of a forest: first the block's own sets are put
+    in, then guests come one at a time and leave the edges that join something."""
 
-    def run(batches):
-        held: list[tuple] = []
-        name = None
-
-        def settle():
-            if len(held) < 2:
-                return
-            first = held[0][0]
-            left = [k for k, h in enumerate(held) if h[2] == first[1]]
-            right = [k for k, h in enumerate(held) if h[2] == first[2]]
-            sets = [np.frombuffer(h[4], np.uint64) for h in held]
-            a: list[int] = []
-            b: list[int] = []
-            for these, those in ((left, right), (right, left)) if first[1] != first[2] else ((left, left),):
-                these = [k for k in these if held[k][3]]
-                if these and those:
-                    for k, found in zip(these, linked([sets[k] for k in these], [sets[k] for k in those])):
-                        a += [k] * len(found)
-                        b += [those[i] for i in found.tolist()]
-            for x, y in _forest(len(held), a, b):
-                yield held[x][1], held[y][1]
+    def __init__(self):
+        self.nodes: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.block: Block | None = None
+        self.root: list[int] = []
 
+    def _join(self, x: int, y: int) -> bool:
+        p, q = self._find(x), self._find(y)
+        self.root[q] = p
+        return p != q
+
+    def _find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def close(self, meet: bool):
+        """All own sets are in; ``meet``: they are compared with each other."""
+        if not self.sets:
+            return
+        self.block, self.root = Block(self.sets), list(range(len(self.sets)))
+        if meet:
+            for x, s in enumerate(self.sets):
+                for y in self.block.linked(s).tolist():
+                    if x != y and self._join(x, y):
+                        yield self.nodes[x], self.nodes[y]
+        self.sets = []
+
+    def guest(self, node: int, s: np.ndarray):
+        if self.block is None:
+            return
+        found = self.block.linked(s).tolist()
+        for k, y in enumerate(found):
+            if not k or self._join(found[0], y):
+                yield node, self.nodes[y]
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(a, b): forests of the links found in each (cluster, side).  Rows come sorted,
+    the sets that live in a block (``at_home``) before its guests.  Blocks without
+    guests are compared with themselves."""
+
+    def run(batches):
+        name, met, opened = None, Met(), True
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for group, one, two, side, node, outside, s in zip(*(c.to_pylist() for c in batch.columns)):
-                if (group, one, two) != name:
-                    out += settle()
-                    held.clear()
-                    name = (group, one, two)
-                held.append((name, node, side, outside, s))
+            for cluster, side, guest, node, s in zip(*(c.to_pylist() for c in batch.columns)):
+                if (cluster, side) != name:
+                    if opened:
+                        out += met.close(True)
+                    name, met, opened = (cluster, side), Met(), True
+                s = np.frombuffer(s, np.uint64)
+                if not guest:
+                    met.nodes.append(node)
+                    met.sets.append(s)
+                    continue
+                if opened:
+                    out += met.close(False)
+                    opened = False
+                out += met.guest(node, s)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
-        if out := list(settle()):
+        if opened and (out := list(met.close(True))):
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
-
-
-def _compare(placed: DataFrame, sets: DataFrame, diagonal: bool) -> DataFrame:
-    """Links between the sets of a cluster; ``placed`` has (cluster, node, side, blocks,
-    outside).  Blocks meet themselves (``diagonal``) or all blocks; block pairs without
-    an outside set fall away."""
-    if diagonal:
-        pairs = placed.select("cluster", F.col("side").alias("one"), F.col("side").alias("two"), "side", "node", "outside")
-    else:
-        with_all = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = with_all.select("cluster", F.least("side", "with").alias("one"), F.greatest("side", "with").alias("two"), "side", "node", "outside")
-        busy = pairs.groupBy("cluster", "one", "two").agg(F.max("outside").alias("any")).filter("any").drop("any")
-        pairs = pairs.join(busy, ["cluster", "one", "two"])
-    groups = (
-        pairs.join(sets, "node")
-        .select("cluster", "one", "two", "side", "node", "outside", "set")
-        .repartition("cluster", "one", "two")
-        .sortWithinPartitions("cluster", "one", "two")
-    )
-    return cut(_met(groups))
-
-
-def links(described: DataFrame) -> DataFrame:
-    """(node, root): components of the join graph, for nodes that link."""
-    sent = described.filter("sigs IS NOT NULL")
-    # a node that several tasks met is one member
-    members = sent.select("node", "least", F.explode("sigs").alias("sig")).groupBy("sig", "node").agg(F.max("least").alias("least"))
-    shared = members.groupBy("sig").agg(F.count("*").alias("members")).filter("members > 1")
-    rare = Window.partitionBy("node").orderBy("members", "sig")
-    mine = (
-        members.join(shared, "sig")
-        .withColumn("at", F.row_number().over(rare))
-        .withColumn("had", F.count("*").over(Window.partitionBy("node")))
-        .filter("had >= least AND at <= had - least + 1")
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _compare(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the blocks of ``placed`` (cluster, side, guest, node)."""
+    return cut(
+        _met(
+            placed.join(sets, "node")
+            .select("cluster", "side", "guest", "node", "set")
+            .repartition("cluster", "side")
+            .sortWithinPartitions("cluster", "side", "guest")
+        )
     )
-    mine = cut(mine.select("sig", "node"))
-    hub = mine.groupBy("sig").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    clusters = components(mine.join(hub, "sig").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    sets = shelve(sent.select("node", "n_shingles", "set").join(clusters, "node").dropDuplicates(["node"]))
-    size = sets.groupBy("root").agg(F.ceil(F.sum("n_shingles") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.select("node", F.col("root").alias("cluster")).join(size.withColumnRenamed("root", "cluster"), "cluster")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, by, root, size, set) of the sets in clusters, from one row of each:
+    ``wanted`` has (k, h, node, by, root), the id and a hash of the text of that row."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("h"), "text")
+    rows = rows.join(wanted, ["k", "h"]).select("node", "by", "root", "text")
+
+    @quiet
+    def run(batches):
+        for b in batches:
+            for start, stop in slices(b.column(3)):
+                part = b.slice(start, stop - start)
+                sets = list(sets_of(part.column(3)))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "by", "root", "size", "set"],
+                )
+
+    return rows.mapInArrow(run, "node long, by long, root long, size long, set binary").dropDuplicates(["node"])
+
+
+def links(kept: DataFrame, sets_in) -> DataFrame:
+    """(node, root): components of the join graph, for sets that link.  ``sets_in``
+    makes (node, by, root, size, set) of the sets of some clusters (node, root); ``by``
+    is the node that a set's signatures were kept under."""
+    hub = kept.groupBy("sig").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    clusters = components(kept.join(hub, "sig").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
+    sets = shelve(sets_in(clusters))
+    size = sets.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    wide = size.filter("blocks > 1")  # a cluster of several blocks holds BLOCK shingles, so these are few
+    placed = sets.select("node", "by", F.col("root").alias("cluster")).join(wide, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sets = sets.select("node", "set")
 
     def side(salt: int):
         return F.pmod(F.xxhash64("node", F.lit(salt)), F.col("blocks")).cast("int")
 
     def pieces(classes: DataFrame) -> DataFrame:
-        """Nodes of clusters of several blocks that are still in several pieces."""
-        wide = placed.filter("blocks > 1").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        """Nodes of clusters of several blocks that are still in several pieces;
+        ``outside`` are those that aren't in the largest piece."""
+        some = placed.filter("blocks > 1").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
         # a key of its own, lest the sums be made where the join dealt a whole cluster
-        count = wide.groupBy(F.struct("cluster", "root").alias("k")).agg(F.count("*").alias("n")).select("k.*", "n")
+        count = some.groupBy(F.struct("cluster", "root").alias("k")).agg(F.count("*").alias("n")).select("k.*", "n")
         main = count.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("pieces")).filter("pieces > 1")
-        return wide.join(main, "cluster").withColumn("outside", F.col("root") != F.col("main"))
+        return some.join(main, "cluster").select("cluster", "node", "by", "blocks", (F.col("root") != F.col("main")).alias("outside"))
 
-    found = _compare(placed.withColumn("side", side(0)).withColumn("outside", F.lit(True)), sets, True)
+    at_home, guest = F.lit(False).alias("guest"), F.lit(True).alias("guest")
+    found = _compare(placed.select("cluster", side(0).alias("side"), at_home, "node"), sets)
     classes = components(found)
-    if placed.filter("blocks > 1").isEmpty():
+    if wide.isEmpty():
         return classes  # every cluster has met in one block
     # other blocks join the large pieces of the first ones
-    again = pieces(classes).withColumn("side", side(1)).withColumn("outside", F.lit(True))
-    found = cut(found.unionByName(_compare(again, sets, True)))
+    again = pieces(classes).select("cluster", side(1).alias("side"), at_home, "node")
+    found = cut(found.unionByName(_compare(again, sets)))
     classes = components(found)
-    rest = pieces(classes).withColumn("side", side(0)).select("cluster", "node", "side", "blocks", "outside")
-    more = _compare(cut(rest), sets, False)
+    # a set outside visits the blocks that hold a set with a signature of its own
+    rest = cut(pieces(classes).withColumn("side", side(0)))
+    signed = kept.select(F.col("node").alias("by"), "sig").join(rest, "by").select("sig", "cluster", "side", "node", "outside")
+    homes = signed.select("sig", "cluster", F.col("side").alias("there")).distinct()
+    visits = signed.filter("outside").join(homes, ["sig", "cluster"]).filter("there != side").select("cluster", F.col("there").alias("side"), "node").distinct()
+    visits = cut(visits)
+    hosts = visits.select("cluster", "side").distinct()
+    homes = rest.join(hosts, ["cluster", "side"]).select("cluster", "side", at_home, "node")
+    more = _compare(homes.unionByName(visits.select("cluster", "side", guest, "node")), sets)
     return classes if more.isEmpty() else components(found.unionByName(more))
 
 
-def _classes(docs: DataFrame, *keep: Column) -> DataFrame:
-    """doc_id, ``keep``, n_shingles and class of every row; class is null for an
-    empty set."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+def _named(described: DataFrame) -> DataFrame:
+    """(node, check, name, copies, least, k, h) of each different set: its smallest id,
+    and the id and text hash of the row that stands for it.  Should two sets share a
+    node, the one of the larger check gets a name made of both."""
+    row = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "h")
+    one = described.filter("node IS NOT NULL").groupBy("node", "check").agg(F.min(row).alias("row"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    first = one.groupBy("node").agg(F.min("check").alias("c"))
+    name = F.when(F.col("check") == F.col("c"), F.col("node")).otherwise(F.xxhash64("node", "check"))
+    return one.join(first, "node").select("node", "check", name.alias("name"), "copies", "least", "row.k", "row.h")
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, h, n_shingles, node, check), the last two null for an empty set, and
+    sets (node, check, copies, least, k, h, class)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    fill = FILL
+    ranges = ranges_for(chars / 6.5 * SIGNATURES, rows.sparkSession)
+    finer = 1
     while True:
-        marks, thin = _sketch(rows, chars / 6.5, fill)
-        if not thin:
+        answers = shelve(answered(_sent(rows, ranges, finer), ranges))
+        if answers.filter(F.col("item") == THIN).isEmpty():
             break
-        fill /= 2  # never seen; keeps the join exact
-    described = shelve(_described(rows, rows.sparkSession.sparkContext.broadcast(marks), fill))
-    classes = links(described)
-    names = ["doc_id", *rows.columns[2:], "n_shingles"]
-    return described.select(*names, "node").join(classes, "node", "left").select(*names, F.coalesce("root", "node").alias("class"))
+        finer *= 2  # some set had too few parts: all are signed again with twice as many
+    kept = cut(_kept(answers))
+    described = shelve(_described(rows.withColumn("h", F.xxhash64("text"))))
+    sets = shelve(_named(described))
+
+    def sets_in(clusters: DataFrame) -> DataFrame:
+        wanted = sets.join(clusters, "node").select("k", "h", F.col("name").alias("node"), F.col("node").alias("by"), "root")
+        return _sets(rows, wanted)
+
+    classes = links(kept, sets_in).withColumnRenamed("node", "name")
+    return described, sets.join(classes, "name", "left").withColumn("class", F.coalesce("root", "name")).drop("name", "root")
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class and component_id of every row."""
-    placed = _classes(docs)
-    least = placed.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    return placed.join(least, "class", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
+    """doc_id, n_shingles and component_id of every row."""
+    described, sets = _classes(docs)
+    sets = shelve(sets.select("node", "check", "copies", "least", "class"))
+    least = sets.groupBy("class").agg(F.min("least").alias("root"))
+    named = sets.join(least, "class").select("node", "check", "copies", "root")
+    return join_spread(described, named, ["node", "check"], "copies").withColumn("component_id", F.coalesce("root", "doc_id"))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -344,7 +430,7 @@ def representatives(docs: DataFrame) -> DataFrame:
     apart = F.col("doc_id").isNull() | ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     named, h = docs.filter(~apart), F.xxhash64(text).alias("h")
     rows = named.select(F.col("doc_id").cast("long").alias("k"), h, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    first = _classes(named, h).groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("k"), "h")).alias("m")).select("m.*")
+    first = _classes(named)[1].groupBy("class").agg(F.min(F.struct("k", "h")).alias("m")).select("m.*")
     return rows.join(first, ["k", "h"]).dropDuplicates(["k", "h"]).select("row.*").unionByName(docs.filter(apart))
 
 

@@ -6,8 +6,8 @@ import pytest
 from helpers import words
 from oracle import DATA, assert_same
 
-from strataq.llm import embeddings, jaccard, registry, substrings
-from strataq.llm.graph import components
+from strataq.llm import embeddings, jaccard, ranges, registry, substrings
+from strataq.llm.graph import components, join_spread
 
 SF = "sf0.001"
 
@@ -99,7 +99,7 @@ def test_representatives_of_repeated_ids(spark, docs):
 
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(4)
-    for n in (5, 30, 64, 65, 70, 100, 128, 129, 300, 1000):
+    for n in (5, 16, 17, 24, 31, 32, 33, 40, 64, 65, 100, 128, 129, 300, 1000):
         for _ in range(40):
             base = rng.integers(0, 2**64, 2 * n, dtype=np.uint64)
             a = np.unique(base[:n])
@@ -107,11 +107,84 @@ def test_signatures_of_linked_sets_meet():
                 drop = int(rng.integers(0, extra + 1))
                 b = np.unique(np.concatenate([base[drop:n], base[n : n + extra - drop]]))
                 if len(b) and 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-                    x, least_a, ok_a = jaccard.signatures(a, jaccard.FILL)
-                    y, least_b, ok_b = jaccard.signatures(b, jaccard.FILL)
-                    both = len(np.intersect1d(x, y))
-                    if ok_a and ok_b:
-                        assert both >= max(1, least_a, least_b)
+                    for finer in (1, 2):
+                        x, least_a, ok_a = jaccard.signatures(a, finer)
+                        y, least_b, ok_b = jaccard.signatures(b, finer)
+                        both = len(np.intersect1d(x, y))
+                        assert ok_a and ok_b and both >= max(1, least_a, least_b)
+
+
+def test_most_signatures_take_two_parts():
+    s = np.unique(np.random.default_rng(3).integers(0, 2**64, 512, dtype=np.uint64))
+    sigs, _, _ = jaccard.signatures(s)
+    parts = 3 * jaccard.groups_of(jaccard.band_of(512))
+    assert 0.95 * parts < len(np.unique(sigs)) <= 2 * 2 * parts  # a subset each, in one or two bands
+    one = np.random.default_rng(5).permutation(s)[1:]
+    lost = len(sigs) - len(np.intersect1d(sigs, jaccard.signatures(np.sort(one))[0]))
+    assert 1 <= lost <= 4  # the part that lost a shingle is in two subsets
+
+
+@pytest.mark.parametrize("later", [False, True])
+@pytest.mark.parametrize("strong", [False, True])
+def test_owners_of_ranges_against_brute_force(spark, strong, later):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(0, 2**64, 2000, dtype=np.uint64))
+    second = rng.integers(0, 2**63, len(base)).astype(np.uint64)
+    held, rows = {}, []
+    for _ in range(6):  # tasks
+        sender = ranges.Sender(5, strong)
+        for _ in range(40):
+            item, at = int(rng.integers(-20, 200)), np.unique(np.append(rng.choice(len(base), 30), 0))  # key 0 is hot
+            sender.add(item, base[at], second[at])
+            for k in at.tolist():
+                held.setdefault(k, set()).add(item)
+        sender.tell(3, 44)
+        rows += list(zip(*(c.to_pylist() for c in sender.batch().columns)))
+    sent = spark.createDataFrame([(p, bytearray(x)) for p, x in rows], ranges.SENT)
+    got = set()
+    for r in ranges.answered(sent, 5, strong, later).collect():
+        got |= {(r["item"], n) for n in np.frombuffer(r["names"], np.uint64).tolist()}
+    name = [int(second[k]) if strong else ((int(x) >> 32) * 5 >> 32) << 32 | int(x) & 0xFFFFFFFF for k, x in enumerate(base.tolist())]
+    want = {(i, name[k]) for k, items in held.items() for i in items if (i > min(items) if later else len(items) > 1)}
+    assert got == want | {(3, 44 | 1 << 63)}
+    hot = [x for p, x in rows if p >= 0 and p == int(base[0]) * 5 >> 64]
+    assert len(hot) == 6  # one row, with one entry of the hot key, from each task
+
+
+@pytest.mark.parametrize("linked", [True, False])
+def test_a_cluster_of_many_blocks(spark, docs, monkeypatch, linked):
+    """Documents of one template: either all link in chains, or they share signatures
+    and never link.  What is sent to the blocks follows the sets that visit."""
+    monkeypatch.setattr(jaccard, "BLOCK", 1500)
+    rng = random.Random(13)
+    base = words(rng, 150).split()
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in range(1 if linked else 9):
+            w[(i * (1 if linked else 17) + k * 16) % 150] = f"n{i}x{k}"
+        rows.append((i, " ".join(w)))
+    sets = {i: shingle_set(t) for i, t in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = brute_components(pairs, sorted(sets))
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(rows)).collect()} == want
+    assert len(set(want.values())) == (1 if linked else len(rows)) or not linked
+
+
+def test_two_sets_of_one_name(spark):
+    rows = [(1, 10, 7, 100), (2, 11, 7, 100), (3, 12, 7, 200), (4, 13, 8, 300), (None, 14, 8, 300), (5, 15, None, None)]
+    named = jaccard._named(spark.createDataFrame(rows, "doc_id long, h long, node long, check long")).collect()
+    by = {(r["node"], r["check"]): r for r in named}
+    assert set(by) == {(7, 100), (7, 200), (8, 300)} and len({r["name"] for r in named}) == 3
+    assert by[7, 100]["name"] == 7 and (by[7, 100]["copies"], by[7, 100]["least"]) == (2, 1)
+    assert (by[8, 300]["least"], by[8, 300]["copies"]) == (4, 2)
+
+
+def test_a_hot_key_is_spread(spark):
+    rows = spark.range(5000).selectExpr("id", "IF(id < 3000, 0, IF(id = 4000, NULL, id)) AS k", "1 AS c")
+    named = rows.filter("k IS NOT NULL").groupBy("k", "c").count().selectExpr("k", "c", "count AS copies", "k * 10 AS v")
+    got = {r["id"]: r["v"] for r in join_spread(rows, named, ["k", "c"], "copies").collect()}
+    assert got == {i: 0 if i < 3000 else None if i == 4000 else i * 10 for i in range(5000)}
 
 
 def brute_substrings(rows):
