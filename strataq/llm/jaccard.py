@@ -38,8 +38,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm.graph import components, cut, join_spread, shelve
 from strataq.llm.ranges import SENT, Sender, answered, concatenated, ranges_for
-from strataq.llm.sketch import mix
-from strataq.llm.wordbatch import Words, slices, windows
+from strataq.llm.wordbatch import Words, mix, slices, windows
 from strataq.llm.workers import quiet
 
 SHINGLE = 5

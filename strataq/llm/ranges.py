@@ -34,6 +34,12 @@ def ranges_for(keys: float, spark) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(keys / PER_RANGE))
 
 
+def named_by(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Names of keys: the range they fall into and their lower 32 bits."""
+    part = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+    return part << np.uint64(32) | keys & np.uint64(0xFFFFFFFF)
+
+
 def rows(names: list, bodies: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(bodies, pa.binary())], names=["part", "body"])
 
@@ -63,9 +69,10 @@ class Sender:
         """What is held: entries to the owner of a range have its number as part,
         answers that need no owner a negative one."""
         keys, items = (np.concatenate([h[i] for h in self.held]) for i in range(2))
-        part = ((keys >> np.uint64(32)) * np.uint64(self.ranges)) >> np.uint64(32)
-        low = keys & np.uint64(0xFFFFFFFF)
-        name = np.concatenate([h[2] for h in self.held]) if self.strong else part << np.uint64(32) | low
+        name = named_by(keys, self.ranges)
+        part, low = name >> np.uint64(32), name & np.uint64(0xFFFFFFFF)
+        if self.strong:
+            name = np.concatenate([h[2] for h in self.held])
         self.held, self.size = [], 0
         order = np.lexsort((items, name, keys) if self.strong else (items, keys))
         part, low, name, items = part[order], low[order].astype("<u4"), name[order], items[order]

@@ -1,15 +1,18 @@
 """Substring dedup: passages of 50 words that start in an earlier document go.
 
-Count-min prefilter: every window has an anchor, the smallest hash among the
-8-word grams inside it; equal windows have equal anchors, and an anchor is counted
-once per document, so the sketch of anchors overestimates in how many documents a
-window occurs, at a twentieth of the keys.  The second pass exactly groups only the
-windows whose anchor is estimated to be in two documents; none that repeats is
-lost.  Windows are compared by a 64-bit hash.
-
-A window sent to the shuffle is one row per document, however often the document
-repeats it.  The smallest id of a window is found with partial aggregation, and the
-rows are joined with it, so that a passage in very many documents is spread.
+Count-min prefilter: every window has an anchor, the smallest hash among the 8-word
+grams inside it; equal windows have equal anchors, and an anchor is counted once per
+document, so its count overestimates in how many documents a window occurs, at a
+twentieth of the keys.  A task's sketch is the cells its anchors touch, of a row of
+``ranges * 2**32`` cells, with a mark for two documents in one cell; the owner of a
+range of cells merges the sketches of all tasks (``ranges``) and tells each document
+which of its anchors may be in another one.  Cells grow in number with the corpus and
+a collision only lets more through.
+
+The second pass exactly groups only the windows of such anchors; none that repeats is
+lost.  Windows are compared by some 100 bits of two independent hashes.  A window goes
+to its owner once for each batch of a task, whatever the number of documents that
+repeat it: all but the smallest id of a batch are known at once to be later ones.
 """
 
 from __future__ import annotations
@@ -22,11 +25,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import sketch
-from strataq.llm.wordbatch import Words, slices, sliding_min, windows
+from strataq.llm.ranges import SENT, Sender, answered, concatenated, named_by, ranges_for
+from strataq.llm.wordbatch import Words, mix, slices, sliding_min, windows
 from strataq.llm.workers import quiet
 
 WINDOW, GRAM = 50, 8
+WORD_CHARS = 6.5  # characters of a word with its space, about
+PER_WORD = 2 / 44  # about 2 in 44 grams are some window's anchor
+
+
+def _second(words: Words | np.ndarray) -> np.ndarray:
+    """A hash of every window that is independent of the first one."""
+    values = words.values if isinstance(words, Words) else words
+    return windows(mix(values ^ np.uint64(0xA0761D6478BD642F)), WINDOW)
 
 
 def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -35,61 +46,61 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = words.owner(WINDOW)
     if not len(owner):
         return np.zeros(1, np.int64), np.full(1, -1), np.zeros(1, np.uint64)
-    anchor = sliding_min(sketch.mix(windows(words.values, GRAM)), WINDOW - GRAM + 1)
+    anchor = sliding_min(mix(windows(words.values, GRAM)), WINDOW - GRAM + 1)
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])]))
     return np.append(first, len(owner)), np.append(owner[first], -1), np.append(anchor[first], np.uint64(0))
 
 
-def _distinct(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Places of the first of each pair (text, key)."""
-    return np.unique(sketch.mix(keys + sketch.mix(owner.astype(np.uint64))), return_index=True)[1]
-
-
-def _sketch(rows: DataFrame, chars: int) -> sketch.Twice:
-    # words have 6.5 characters or so; about 2 in 44 grams are some window's anchor
-    bits = sketch.width_bits(chars / 6.5 * 2 / 44)
+def _anchor_answers(named: DataFrame, ranges: int) -> DataFrame:
+    """(item, names) of documents: their anchors that may be in another document."""
 
     @quiet
     def run(batches):
-        mine = sketch.Partial(bits)
+        mine = Sender(ranges)
         for b in batches:
-            for start, stop in slices(b.column(0)):
-                _, owner, anchor = _anchors(Words(b.column(0)[start:stop]))
+            for start, stop in slices(b.column(1)):
+                _, owner, anchor = _anchors(Words(b.column(1)[start:stop]))
                 own = owner >= 0
-                owner, anchor = owner[own], anchor[own]
-                mine.add(anchor[_distinct(anchor, owner)])
+                mine.add(b.column(0)[start:stop].to_numpy()[owner[own]], anchor[own])
                 if mine.full():
-                    yield sketch.batch(mine.rows())
+                    yield mine.batch()
         if mine.size:
-            yield sketch.batch(mine.rows())
+            yield mine.batch()
 
-    return sketch.merge(rows.select("text").mapInArrow(run, sketch.SCHEMA), bits)
+    return answered(named.mapInArrow(run, SENT), ranges)
 
 
 def _later(rows: DataFrame) -> DataFrame:
-    """(doc_id, hs): hashes of the windows of a document that start in an earlier one."""
+    """(doc_id, hs): packed hashes of the windows of a document that start in an
+    earlier one, in a few pieces."""
     named = rows.filter("doc_id IS NOT NULL")
-    chars = named.agg(F.sum(F.length("text"))).first()[0] or 0
-    twice = rows.sparkSession.sparkContext.broadcast(_sketch(named, int(chars)))
+    spark = rows.sparkSession
+    n_words = (named.agg(F.sum(F.length("text"))).first()[0] or 0) / WORD_CHARS
+    cells, owners = ranges_for(n_words * PER_WORD, spark), ranges_for(n_words, spark)
+    suspects = _anchor_answers(named, cells).groupBy(F.col("item").alias("doc_id")).agg(F.collect_list("names").alias("names"))
 
     @quiet
-    def suspects(batches):
+    def run(batches):
+        mine = Sender(owners, strong=True)
         for b in batches:
             for start, stop in slices(b.column(1)):
                 words = Words(b.column(1)[start:stop])
                 first, owner, anchor = _anchors(words)
-                on = (owner >= 0) & twice.value(anchor)
+                listed = [concatenated(x) for x in b.column(2)[start:stop].to_pylist()]
+                known = np.concatenate(listed), np.repeat(np.arange(len(listed), dtype=np.uint64), [len(x) for x in listed])
+                on = (owner >= 0) & np.isin(mix(named_by(anchor, cells) + mix(owner.astype(np.uint64))), mix(known[0] + mix(known[1])))
                 length = np.diff(first, append=first[-1])
                 place = np.flatnonzero(np.repeat(on, length))
                 if len(place):
-                    h, text = windows(words.values, WINDOW)[place], np.repeat(owner, length)[place]
-                    at = _distinct(h, text)
-                    ids = b.column(0)[start:stop].to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[text[at]])], names=["h", "doc_id"])
+                    ids = b.column(0)[start:stop].to_numpy()[np.repeat(owner, length)[place]]
+                    mine.add(ids, windows(words.values, WINDOW)[place], _second(words)[place])
+                    if mine.full():
+                        yield mine.batch()
+        if mine.size:
+            yield mine.batch()
 
-    seen = named.mapInArrow(suspects, "h long, doc_id long")
-    first = seen.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h", "first")
-    return seen.join(first, "h").filter("doc_id > first").groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
+    sent = named.join(suspects, "doc_id").select("doc_id", "text", "names").mapInArrow(run, SENT)
+    return answered(sent, owners, strong=True, later=True).groupBy(F.col("item").alias("doc_id")).agg(F.collect_list("names").alias("hs"))
 
 
 def _without(texts: pa.Array, hs: pa.Array):
@@ -102,7 +113,7 @@ def _without(texts: pa.Array, hs: pa.Array):
         mine = hs[start:stop]
         for i in np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False) & (n >= WINDOW)).tolist():
             values = words.values[words.edges[i] : words.edges[i + 1]]
-            hit = np.isin(windows(values, WINDOW), mine[i].values.to_numpy().view(np.uint64))
+            hit = np.isin(_second(values), concatenated(mine[i].as_py()))
             edge = np.zeros(len(values) + 1, np.int32)
             edge[: len(hit)] += hit
             edge[WINDOW : WINDOW + len(hit)] -= hit
@@ -116,6 +127,13 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _with_later(frame: DataFrame, rows: DataFrame) -> DataFrame:
+    """``frame`` with ``hs`` by doc_id; rows of a null id stay out of the join, where
+    they would meet in one task."""
+    met = frame.filter("doc_id IS NOT NULL").join(_later(rows), "doc_id", "left")
+    return met.unionByName(frame.filter("doc_id IS NULL").withColumn("hs", F.lit(None).cast("array<binary>")))
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the kept words.
 
@@ -136,14 +154,16 @@ def dedup(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256"],
             )
 
-    both = rows.join(_later(rows), "doc_id", "left").select("doc_id", "text", "hs")
+    both = _with_later(rows, rows).select("doc_id", "text", "hs")
     return both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """``docs`` without the repeated passages: texts that lose words are their kept
     words joined by one space, other texts stay as they are; ``n_chars``, if there,
-    follows the text."""
+    follows the text.  No row goes: a text that loses all its words becomes empty.
+    Null and empty texts, null ids, repeated rows and ids, texts under 50 words and an
+    empty table as in ``dedup``; columns of any name pass through."""
     names = docs.columns
     at, size = names.index("text"), names.index("n_chars") if "n_chars" in names else None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
@@ -159,7 +179,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 columns[size] = pa.array([o if t is s else len(t) for o, s, t in zip(columns[size].to_pylist(), before, after)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.join(_later(_rows(docs)), "doc_id", "left").select("row", "hs").mapInArrow(run, docs.schema)
+    return _with_later(rows, _rows(docs)).select("row", "hs").mapInArrow(run, docs.schema)
 
 
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
