@@ -278,14 +278,53 @@ def test_bands_keep_their_promise():
         assert (1 - agree) ** n <= embeddings.MISS
 
 
-def test_estimates_never_drop_a_link():
-    rng = np.random.default_rng(1)
-    base = rng.normal(size=(40, 64))
-    x = np.repeat(base, 10, 0) + 0.12 * rng.normal(size=(400, 64))
+@pytest.mark.parametrize("dim", [3, 32, 63, 256])
+def test_codes_never_drop_a_link_and_drop_most_others(dim):
+    rng = np.random.default_rng(dim)
+    base = rng.normal(size=(40, dim))
+    x = np.repeat(base, 10, 0) + 0.12 * rng.normal(size=(400, dim))
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    want = np.triu(unit @ unit.T >= embeddings.THRESHOLD, 1)
-    i, j = embeddings.linked(x, x, True)
-    assert want.sum() > 50 and set(zip(i, j)) == set(zip(*np.nonzero(want)))
+    want = unit @ unit.T >= embeddings.THRESHOLD
+    assert (embeddings.linked(x, 3 * x) == want).all()
+    code, about = embeddings.coded(unit, 3 * dim)
+    assert code.shape == (400, -(-3 * dim // 8)) and about.shape[1] == 12 + -(-dim // 2)
+    maybe = embeddings.undecided(dim, about, code, about)
+    assert (maybe | ~want).all()
+    if dim >= 63:
+        assert maybe.mean() < 0.1
+
+
+def test_estimates_have_no_bias():
+    rng = np.random.default_rng(2)
+    dim, found = 64, []
+    for _ in range(300):
+        x, y = rng.normal(size=(2, dim))
+        y = 0.6 * x / np.linalg.norm(x) + 0.8 * (v := y - (y @ x) / (x @ x) * x) / np.linalg.norm(v)
+        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
+        turn = q * np.sign(np.diag(r))
+        sign = np.where(turn @ y > 0, 1, -1) / np.sqrt(dim)
+        found.append((turn @ (x / np.linalg.norm(x))) @ sign / ((turn @ y) @ sign))
+    assert abs(np.mean(found) - 0.6) < 4 * np.std(found) / np.sqrt(300)
+
+
+def test_embeddings_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    rows = [(k, [float(x) for x in base + 0.1 * rng.normal(size=24)], 1) for k in range(150)]
+    rows += [(200 + k, rows[0][1], 1) for k in range(40)] + [(300 + k, rows[0][1], None) for k in range(5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    ok = {i: np.array(v) / np.linalg.norm(v) for i, v, label in rows if label == 1}
+    near = [(a, b) for a in ok for b in ok if a < b and ok[a] @ ok[b] >= 0.98]
+    n = {r[0]: 0 for r in rows}
+    for a, b in near:
+        n[a] += 1
+        n[b] += 1
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(frame).collect()}
+    found, true = sum(r["n_links"] for r in got.values()), sum(n.values())
+    assert 0.99 * true <= found <= true and true > 1000
+    if found == true:
+        assert {i: r["component_id"] for i, r in got.items()} == brute_components(near, list(n))
 
 
 def test_components(spark):
