@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.graph import components, cut, join_spread, shelve
-from strataq.llm.ranges import SENT, Sender, answered, concatenated, ranges_for
+from strataq.llm.ranges import SENT, Sender, answered, ranges_for, unpacked
 from strataq.llm.wordbatch import Words, mix, slices, windows
 from strataq.llm.workers import quiet
 
@@ -156,7 +156,7 @@ def _kept(answers: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for node, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                names = concatenated(packed)
+                names = unpacked(packed)
                 k = np.searchsorted(names, np.uint64(1 << 63))
                 least = int(names[k:].min() - np.uint64(1 << 63)) if k < len(names) else 1
                 if k >= least:
@@ -167,7 +167,7 @@ def _kept(answers: DataFrame) -> DataFrame:
                     [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), [len(x) for x in sigs]))], names=["sig", "node"]
                 )
 
-    return answers.groupBy("item").agg(F.collect_list("names").alias("names")).mapInArrow(run, "sig long, node long")
+    return answers.mapInArrow(run, "sig long, node long")
 
 
 def _described(rows: DataFrame) -> DataFrame:

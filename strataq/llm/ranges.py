@@ -10,9 +10,10 @@ owner of a range puts the entries of all batches together and answers.
 The number of ranges follows the number of keys, so an owner holds about ``PER_RANGE``
 keys at every size; nothing is collected, broadcast or capped.
 
-Answers are rows (item, names): a key is named by its range and 32 bits of it, or by a
-second 64-bit hash where the sender gives one (``strong``).  Without one, owners may
-take two keys of a range for one and answer too much, never too little.
+Answers travel packed by buckets of items and end as one row (item, names) for each
+item: a key is named by its range and 32 bits of it, or by a second 64-bit hash where
+the sender gives one (``strong``).  Without one, owners may take two keys of a range for
+one and answer too much, never too little.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strataq.llm.wordbatch import mix
 from strataq.llm.workers import quiet
 
 PER_RANGE = 2_000_000  # keys of one range
@@ -106,60 +108,95 @@ def _unpacked(part: int, body: bytes, strong: bool):
     return low, items, many, name
 
 
+def _settled(held: list[tuple], later: bool):
+    """(items, names) that the entries of one range answer."""
+    low, items, many, name = (np.concatenate(c) for c in zip(*held))
+    order = np.lexsort((items, name, low))
+    low, items, many, name = low[order], items[order], many[order], name[order]
+    first = np.ones(len(items), bool)
+    first[1:] = (low[1:] != low[:-1]) | (name[1:] != name[:-1])
+    at = np.flatnonzero(first)
+    size = np.diff(at, append=len(items))
+    least, most = items[at], items[at + size - 1]
+    if later:
+        on = items > np.repeat(least, size)
+    else:
+        on = np.repeat((least != most) | np.logical_or.reduceat(many, at), size)
+    on[1:] &= first[1:] | (items[1:] != items[:-1])
+    return items[on], name[on]
+
+
+class _Answers:
+    """Answers of one owner, packed by bucket of items."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.held, self.size = buckets, [], 0
+
+    def add(self, items: np.ndarray, names: np.ndarray):
+        self.held.append((items, names))
+        self.size += len(items)
+
+    def batches(self, least: int = 1):
+        if self.size < least:
+            return
+        items, names = (np.concatenate(c) for c in zip(*self.held))
+        self.held, self.size = [], 0
+        bucket = ((mix(items.view(np.uint64)) >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        bucket, items, names = bucket[order], items[order], names[order]
+        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist()
+        bodies = [items[i:j].tobytes() + names[i:j].tobytes() for i, j in zip(edges, [*edges[1:], len(items)])]
+        yield rows(bucket[edges].astype(np.int64).tolist(), bodies)
+
+
+def _pairs(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(body) // 16
+    return np.frombuffer(body, np.int64, n), np.frombuffer(body, np.uint64, n, 8 * n)
+
+
 def answered(sent: DataFrame, ranges: int, strong: bool = False, later: bool = False) -> DataFrame:
-    """(item, names) from what senders sent: ``names`` packs the keys that the item
-    shares with another one; with ``later`` only those that a smaller item has."""
+    """(item, names) from what senders sent, one row for each item with an answer:
+    ``names`` packs the different keys that it shares with another item; with ``later``
+    only those that a smaller item has."""
 
     @quiet
-    def run(batches):
+    def own(batches):
         held: dict[int, list] = {}
+        out = _Answers(ranges)
         for b in batches:
-            out: list[tuple] = []
             for part, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if part >= 0:
                     held.setdefault(part, []).append(_unpacked(part, body, strong))
                 else:
-                    n = len(body) // 16
-                    out.append((np.frombuffer(body, np.int64, n), np.frombuffer(body, np.uint64, n, 8 * n)))
-            yield from _by_item(out)
+                    out.add(*_pairs(body))
+            yield from out.batches(FLUSH)
         for part in list(held):
-            low, items, many, name = (np.concatenate(c) for c in zip(*held.pop(part)))
-            order = np.lexsort((items, name, low))
-            low, items, many, name = low[order], items[order], many[order], name[order]
-            first = np.ones(len(items), bool)
-            first[1:] = (low[1:] != low[:-1]) | (name[1:] != name[:-1])
-            at = np.flatnonzero(first)
-            size = np.diff(at, append=len(items))
-            least, most = items[at], items[at + size - 1]
-            if later:
-                on = items > np.repeat(least, size)
-            else:
-                on = np.repeat((least != most) | np.logical_or.reduceat(many, at), size)
-            on[1:] &= first[1:] | (items[1:] != items[:-1])
-            yield from _by_item([(items[on], name[on])])
-
-    return sent.repartition(ranges, "part").mapInArrow(run, "item long, names binary")
-
-
-def _by_item(some: list[tuple]):
-    """Answers packed by item, in batches."""
-    if not some:
-        return
-    items, names = (np.concatenate(c) for c in zip(*some))
-    if not len(items):
-        return
-    order = np.argsort(items, kind="stable")
-    items, names = items[order], names[order]
-    edges = np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]]))
-    for k in range(0, len(edges), 20_000):
-        mine = edges[k : k + 20_000]
-        end = edges[k + 20_000] if k + 20_000 < len(edges) else len(items)
-        data = names[mine[0] : end].tobytes()
-        offsets = (np.append(mine, end) - mine[0]) * 8
-        packed = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
-        yield pa.RecordBatch.from_arrays([pa.array(items[mine]), packed], names=["item", "names"])
-
-
-def concatenated(packed: list[bytes]) -> np.ndarray:
-    """Names of several answers to one item, without repetition."""
-    return np.unique(np.frombuffer(b"".join(packed), np.uint64))
+            out.add(*_settled(held.pop(part), later))
+            yield from out.batches(FLUSH)
+        yield from out.batches()
+
+    @quiet
+    def gather(batches):
+        held = [_pairs(body) for b in batches for body in b.column(1).to_pylist()]
+        if not held:
+            return
+        items, names = (np.concatenate(c) for c in zip(*held))
+        del held
+        order = np.lexsort((names, items))
+        items, names = items[order], names[order]
+        new = np.ones(len(items), bool)
+        new[1:] = (items[1:] != items[:-1]) | (names[1:] != names[:-1])
+        items, names = items[new], names[new]
+        edges = np.append(np.flatnonzero(np.concatenate([[True], items[1:] != items[:-1]])), len(items))
+        for k in range(0, len(edges) - 1, 10_000):
+            at = edges[k : k + 10_001]
+            offsets = ((at - at[0]) * 8).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(names[at[0] : at[-1]].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(items[at[:-1]]), packed], names=["item", "names"])
+
+    return sent.repartition(ranges, "part").mapInArrow(own, SENT).repartition(ranges, "part").mapInArrow(gather, "item long, names binary")
+
+
+def unpacked(names: bytes) -> np.ndarray:
+    """Names of an answer, in order."""
+    return np.frombuffer(names, np.uint64)

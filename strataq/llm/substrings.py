@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm.ranges import SENT, Sender, answered, concatenated, named_by, ranges_for
+from strataq.llm.ranges import SENT, Sender, answered, named_by, ranges_for, unpacked
 from strataq.llm.wordbatch import Words, mix, slices, sliding_min, windows
 from strataq.llm.workers import quiet
 
@@ -72,12 +72,12 @@ def _anchor_answers(named: DataFrame, ranges: int) -> DataFrame:
 
 def _later(rows: DataFrame) -> DataFrame:
     """(doc_id, hs): packed hashes of the windows of a document that start in an
-    earlier one, in a few pieces."""
+    earlier one."""
     named = rows.filter("doc_id IS NOT NULL")
     spark = rows.sparkSession
     n_words = (named.agg(F.sum(F.length("text"))).first()[0] or 0) / WORD_CHARS
     cells, owners = ranges_for(n_words * PER_WORD, spark), ranges_for(n_words, spark)
-    suspects = _anchor_answers(named, cells).groupBy(F.col("item").alias("doc_id")).agg(F.collect_list("names").alias("names"))
+    suspects = _anchor_answers(named, cells).withColumnRenamed("item", "doc_id")
 
     @quiet
     def run(batches):
@@ -86,7 +86,7 @@ def _later(rows: DataFrame) -> DataFrame:
             for start, stop in slices(b.column(1)):
                 words = Words(b.column(1)[start:stop])
                 first, owner, anchor = _anchors(words)
-                listed = [concatenated(x) for x in b.column(2)[start:stop].to_pylist()]
+                listed = [unpacked(x) for x in b.column(2)[start:stop].to_pylist()]
                 known = np.concatenate(listed), np.repeat(np.arange(len(listed), dtype=np.uint64), [len(x) for x in listed])
                 on = (owner >= 0) & np.isin(mix(named_by(anchor, cells) + mix(owner.astype(np.uint64))), mix(known[0] + mix(known[1])))
                 length = np.diff(first, append=first[-1])
@@ -100,7 +100,7 @@ def _later(rows: DataFrame) -> DataFrame:
             yield mine.batch()
 
     sent = named.join(suspects, "doc_id").select("doc_id", "text", "names").mapInArrow(run, SENT)
-    return answered(sent, owners, strong=True, later=True).groupBy(F.col("item").alias("doc_id")).agg(F.collect_list("names").alias("hs"))
+    return answered(sent, owners, strong=True, later=True).toDF("doc_id", "hs")
 
 
 def _without(texts: pa.Array, hs: pa.Array):
@@ -113,7 +113,7 @@ def _without(texts: pa.Array, hs: pa.Array):
         mine = hs[start:stop]
         for i in np.flatnonzero(mine.is_valid().to_numpy(zero_copy_only=False) & (n >= WINDOW)).tolist():
             values = words.values[words.edges[i] : words.edges[i + 1]]
-            hit = np.isin(_second(values), concatenated(mine[i].as_py()))
+            hit = np.isin(_second(values), unpacked(mine[i].as_py()))
             edge = np.zeros(len(values) + 1, np.int32)
             edge[: len(hit)] += hit
             edge[WINDOW : WINDOW + len(hit)] -= hit
@@ -131,7 +131,7 @@ def _with_later(frame: DataFrame, rows: DataFrame) -> DataFrame:
     """``frame`` with ``hs`` by doc_id; rows of a null id stay out of the join, where
     they would meet in one task."""
     met = frame.filter("doc_id IS NOT NULL").join(_later(rows), "doc_id", "left")
-    return met.unionByName(frame.filter("doc_id IS NULL").withColumn("hs", F.lit(None).cast("array<binary>")))
+    return met.unionByName(frame.filter("doc_id IS NULL").withColumn("hs", F.lit(None).cast("binary")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -142,8 +142,10 @@ def test_owners_of_ranges_against_brute_force(spark, strong, later):
         rows += list(zip(*(c.to_pylist() for c in sender.batch().columns)))
     sent = spark.createDataFrame([(p, bytearray(x)) for p, x in rows], ranges.SENT)
     got = set()
-    for r in ranges.answered(sent, 5, strong, later).collect():
-        got |= {(r["item"], n) for n in np.frombuffer(r["names"], np.uint64).tolist()}
+    answers = ranges.answered(sent, 5, strong, later).collect()
+    assert len({r["item"] for r in answers}) == len(answers)  # one row for each item
+    for r in answers:
+        got |= {(r["item"], n) for n in ranges.unpacked(r["names"]).tolist()}
     name = [int(second[k]) if strong else ((int(x) >> 32) * 5 >> 32) << 32 | int(x) & 0xFFFFFFFF for k, x in enumerate(base.tolist())]
     want = {(i, name[k]) for k, items in held.items() for i in items if (i > min(items) if later else len(items) > 1)}
     assert got == want | {(3, 44 | 1 << 63)}
