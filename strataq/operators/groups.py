@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataq.errors import Invalid
+
 POSITION, GROUP = "__pos", "__rg"
 
 
@@ -21,7 +23,7 @@ def with_position(df: DataFrame, start: int = 0, folder: str | None = None) -> D
     both read from that copy: a second run of the frame may be dealt out otherwise.
     """
     spark = df.sparkSession
-    folder = folder or f"{_shared(spark)}/placed-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/placed-{uuid.uuid4().hex}"
     place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     numbered = df.withColumn("__part", F.spark_partition_id()).withColumn("__at", place)
     numbered.write.mode("overwrite").parquet(folder)
@@ -35,9 +37,16 @@ def with_position(df: DataFrame, start: int = 0, folder: str | None = None) -> D
     return copy.join(F.broadcast(table), "__part").withColumn(POSITION, F.col("__first") + F.col("__at")).drop("__part", "__at", "__first")
 
 
-def _shared(spark: SparkSession) -> str:
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="placed-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.  A
+    folder of this machine serves a local session only."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise Invalid("writer.folder", "spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="placed-")
 
 
 def with_group(df: DataFrame, rows: int, first_position: int = 0, first_group: int = 0) -> DataFrame:

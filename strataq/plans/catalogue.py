@@ -8,7 +8,6 @@ are derived from the key, since the tables hold none.
 from __future__ import annotations
 
 import datetime
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -295,24 +294,107 @@ def sharded_range_union(spark, sf_dir):
     return out
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    from strataq.operators.groups import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def roundtrip_all(spark, sf_dir):
     """Write the orders as a dataset, read everything back."""
     from strataq.sources.segment import SegmentWriter
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{shared or tempfile.mkdtemp(prefix='segment-')}/orders-{uuid.uuid4().hex}"
     t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(*[f.name for f in ORDERS.schema.fields])
-    writer = SegmentWriter(spark, path, ORDERS.schema, Layout(4096, 1024, (1,), (1, 4), (3,)))
+    writer = SegmentWriter(spark, _folder(spark, "orders"), ORDERS.schema, Layout(4096, 1024, (1,), (1, 4), (3,)))
     writer.append(t.orderBy("o_orderkey"))
     return writer.finish().read_all()
 
 
+_written: dict = {}
+
+
+def written(spark: SparkSession, sf_dir: str):
+    """The events as a dataset, written once for each session and folder."""
+    from strataq.sources.segment import Segment, SegmentWriter
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        names = [f.name for f in EVENTS.schema.fields]
+        t = spark.read.parquet(f"{sf_dir}/events.parquet").select(*[F.expr(EVENTS.derived.get(n, n)).alias(n) for n in names])
+        writer = SegmentWriter(spark, _folder(spark, "events"), EVENTS.schema, EVENTS.layout)
+        writer.append(t.orderBy("event_id"))
+        _written[key] = writer.finish().path
+    return Segment.open(spark, _written[key])
+
+
+def _on_segment(plan: Scan):
+    return lambda spark, sf_dir: written(spark, sf_dir).scan(plan).frame()
+
+
+def segment_counters(spark, sf_dir):
+    """Groups, chunks and rows of a scan that prunes, proves and filters."""
+    m = written(spark, sf_dir).scan(_COUNTED).metrics()
+    row = (m.row_groups_considered, m.row_groups_pruned, m.predicate_chunks, m.projection_chunks, m.rows_returned)
+    return spark.createDataFrame([row], "considered long, pruned long, predicate_chunks long, projection_chunks long, rows long")
+
+
+SHARES, WIDTHS = (1, 10, 50, 100), (1, 2, 3)
+
+
+def selectivity_matrix(spark, sf_dir):
+    """Rows and a sum of each scan of a share of the dataset with some columns."""
+    segment = written(spark, sf_dir)
+    out = None
+    for share in SHARES:
+        for width in WIDTHS:
+            plan = Scan((1, 3, 5)[:width], (Test(1, "lt", segment.num_rows * share // 100),))
+            rows = segment.scan(plan).unordered().agg(F.count("*").alias("rows"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("ids"))
+            one = rows.select(F.lit(share).alias("share"), F.lit(width).alias("width"), "rows", "ids")
+            out = one if out is None else out.unionAll(one)
+    return out
+
+
+WIDE = 16
+
+
+def wide_narrow(spark, sf_dir):
+    """Two of sixteen columns and a filter on a third."""
+    wide = Schema(1, tuple(Field(i + 1, f"c{i}", "int64", i > 0) for i in range(WIDE))).validate()
+    view = View("events", "event_id", wide, Layout(GROUP_ROWS, SAMPLE_ROWS, (1,)), {f"c{i}": f"event_id * {i + 1}" for i in range(WIDE)})
+    return view.scan(Scan((16, 4), (Test(8, "ge", 4000),)))(spark, sf_dir)
+
+
+def concurrent_requests(spark, sf_dir):
+    """Four requests at a time through one reader; each has its own key range."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    segment = written(spark, sf_dir)
+    edges = [segment.num_rows * k // 4 for k in range(5)]
+
+    def ask(k: int):
+        part = segment.scan(Scan((1, 5), key_range=KeyRange((edges[k],), (edges[k + 1],))))
+        return k, sum(b.num_rows for b in part.batches())
+
+    with ThreadPoolExecutor(4) as pool:
+        return spark.createDataFrame(list(pool.map(ask, range(4))), "request long, rows long")
+
+
+_SEGMENT_PLANS = {
+    "segment_filter": Scan((6, 1), (Test(1, "ge", 300), Test(6, "ge", 20))),
+    "segment_range": Scan((1, 4), key_range=KeyRange((100,), (900,))),
+    "segment_bloom": Scan((1, 3), (Test(3, "eq", 11),)),
+    "segment_limit": Scan((1, 6), (Test(6, "ge", 9),), limit=25),
+    "segment_nan": Scan((1,), (Test(7, "ge", 100.0),)),
+}
+
+
 def queries() -> dict:
-    out = {name: view.scan(plan) for name, (view, plan, _) in _plans().items()}
+    out = {name: view.scan(plan) for name, (view, plan, _) in _plans().items()} | {name: _on_segment(plan) for name, plan in _SEGMENT_PLANS.items()}
     for f in (
         empty_projection_count, zone_map, zone_map_nan_guard, sort_bounds, sort_violations, sort_violations_composite, group_classifier,
         scan_counters, rle_runs, rle_decode, dictionary_codes, dictionary_decode, for_params, for_deltas, for_decode, plain_sizes, compact_sizes,
         encoding_selector, size_fallback, bloom_scan, sharded_range_union, roundtrip_all,
+        segment_counters, selectivity_matrix, wide_narrow, concurrent_requests,
     ):
         out[f.__name__] = f
     return out
@@ -370,6 +452,20 @@ e AS (SELECT rg, enc, p, CASE enc WHEN 1 THEN di WHEN 2 THEN r WHEN 3 THEN fo EL
 SELECT rg, enc AS chosen_id, CAST(CASE WHEN enc > 0 AND sz >= p THEN 0 ELSE enc END AS INTEGER) AS encoding_id, p AS plain_size, CASE WHEN enc > 0 AND sz >= p THEN p ELSE sz END AS encoded_size FROM e""",
         "bloom_scan": "SELECT event_id, user_id FROM events WHERE user_id = 11",
         "sharded_range_union": "SELECT o_orderkey, o_custkey FROM orders",
+        "segment_filter": _events("event_id >= 300 AND v >= 20", "v, event_id"),
+        "segment_range": _events("event_id >= 100 AND event_id < 900", "event_id, event_type"),
+        "segment_bloom": "SELECT event_id, user_id FROM events WHERE user_id = 11",
+        "segment_limit": _events("v >= 9") + " ORDER BY event_id LIMIT 25",
+        "segment_nan": _events("x >= 100.0 AND NOT isnan(x)", "event_id"),
+        "segment_counters": f"""{_G}, q AS (SELECT rg, min(event_id) AS k0, max(event_id) AS k1, count(CASE WHEN event_id >= 5000 THEN 1 END) AS hits FROM g GROUP BY rg),
+k AS (SELECT *, CASE WHEN k1 < 5000 THEN 'none' WHEN k0 >= 5000 THEN 'all' ELSE 'partial' END AS cls FROM q)
+SELECT count(*) AS considered, count(CASE WHEN cls = 'none' THEN 1 END) AS pruned, count(CASE WHEN cls = 'partial' THEN 1 END) AS predicate_chunks,
+  count(CASE WHEN cls <> 'none' AND hits > 0 THEN 1 END) AS projection_chunks, CAST(sum(hits) AS BIGINT) AS rows FROM k""",
+        "selectivity_matrix": f"""WITH s AS (SELECT unnest([{", ".join(map(str, SHARES))}]) AS share), w AS (SELECT unnest([{", ".join(map(str, WIDTHS))}]) AS width), n AS (SELECT count(*) AS n FROM events)
+SELECT CAST(share AS INTEGER) AS share, CAST(width AS INTEGER) AS width, count(event_id) AS rows, CAST(coalesce(sum(event_id), 0) AS BIGINT) AS ids
+FROM s CROSS JOIN w CROSS JOIN n LEFT JOIN events ON event_id < n * share // 100 GROUP BY share, width""",
+        "wide_narrow": "SELECT event_id * 16 AS c15, event_id * 4 AS c3 FROM events WHERE event_id * 8 >= 4000",
+        "concurrent_requests": "SELECT CAST(k AS BIGINT) AS request, (SELECT count(*) FROM events WHERE event_id >= (SELECT count(*) FROM events) * k // 4 AND event_id < (SELECT count(*) FROM events) * (k + 1) // 4) AS rows FROM (SELECT unnest(range(4)) AS k)",
         "roundtrip_all": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders",
     }
     return out

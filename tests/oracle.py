@@ -1,5 +1,7 @@
 """Comparison of a Spark query with DuckDB SQL on the driver's tables."""
 
+import datetime
+import decimal
 import os
 
 import duckdb
@@ -8,19 +10,36 @@ DATA = os.environ.get("TEST_DATA", "/root/testdata")
 
 
 def duck(sql, sf):
+    """Column names and rows as Python values."""
     con = duckdb.connect()
     folder = f"{DATA}/{sf}"
     for f in os.listdir(folder):
         con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM read_parquet('{folder}/{f}')")
-    return con.sql(sql).df()
-
-
-def plain(df):
-    df = df[sorted(df.columns)]
-    rows = df.astype(object).where(df.notna(), None).values.tolist()
-    norm = lambda v: float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-    return list(df.columns), sorted((tuple(map(norm, r)) for r in rows), key=repr)
-
-
-def assert_same(frame, sql, sf):
-    assert plain(frame.toPandas()) == plain(duck(sql, sf))
+    got = con.sql(sql)
+    return list(got.columns), got.fetchall()
+
+
+def exact(v):
+    """A value with its kind: whole numbers stay whole, whatever their size."""
+    if v is None or isinstance(v, (bool, int)):
+        return type(v).__name__, v
+    if isinstance(v, decimal.Decimal):
+        return ("int", int(v)) if v == int(v) else ("decimal", v.normalize())
+    if isinstance(v, float):
+        return "float", repr(v)
+    if isinstance(v, (bytes, bytearray)):
+        return "bytes", bytes(v)
+    if isinstance(v, (datetime.datetime, datetime.date)):
+        return "time", v.isoformat()
+    return type(v).__name__, v
+
+
+def plain(columns, rows, ordered=False):
+    at = sorted(range(len(columns)), key=columns.__getitem__)
+    out = [tuple(exact(r[k]) for k in at) for r in rows]
+    return [columns[k] for k in at], out if ordered else sorted(out, key=repr)
+
+
+def assert_same(frame, sql, sf, ordered=False):
+    columns, rows = duck(sql, sf)
+    assert plain(frame.columns, frame.collect(), ordered) == plain(columns, rows, ordered)

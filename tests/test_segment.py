@@ -328,3 +328,124 @@ def test_append_refuses_a_loss(spark, tmp_path, monkeypatch):
     with pytest.raises(Corrupt, match="29 rows written of 30"):
         w.append(frame30(spark))
     assert w.rows == 0 and sorted(os.listdir(tmp_path / "less" / "data")) == ["none"]
+
+
+def scanned_rows(frame):
+    """Rows that the Parquet scans of a frame put out when it runs."""
+    frame.collect()
+    plan, out = frame._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec":
+            out += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
+def test_only_groups_that_the_index_leaves_are_read(spark, seg30):
+    read = lambda plan, **k: scanned_rows(Segment.open(spark, seg30.path, **k).scan(plan).unordered())
+    assert read(Scan((4,), (Test(1, "ge", 10),))) == 20  # proven whole
+    assert read(Scan((4,), (Test(1, "ge", 12),))) == 20
+    assert read(Scan((1,), (Test(2, "eq", "many"),))) == 0  # in the range, not in the Bloom bitmaps
+    assert read(Scan((4,), key_range=KeyRange((12,), (18,)))) == 10
+    whole = Segment.open(spark, seg30.path).scan(Scan((4,), (Test(1, "ge", 10),))).unordered()
+    scans = [x for x in whole._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in x]
+    assert len(scans) == 1 and "f1:" not in scans[0]  # nor is the filter's column
+
+
+@pytest.fixture()
+def two_files(spark, tmp_path):
+    """Two appends; the second one's file is broken."""
+    w = SegmentWriter(spark, str(tmp_path / "two"), SCAN30, LAYOUT30)
+    w.append(frame30(spark, 0, 15))
+    w.append(frame30(spark, 15, 30))
+    s = w.finish()
+    for path in glob.glob(f"{s.path}/data/append-000001/*.parquet"):
+        open(path, "r+b").truncate(40)
+    for crc in glob.glob(f"{s.path}/data/append-000001/.*.crc"):
+        os.remove(crc)
+    return s
+
+
+def test_a_broken_file_that_is_not_needed(two_files):
+    assert keys(two_files.scan(Scan((1,), (Test(1, "lt", 15),)))) == list(range(15))
+    assert keys(two_files.scan(Scan((1,), limit=15))) == list(range(15))
+    assert keys(two_files.scan(Scan((1,), (Test(3, "is_null"),), limit=3))) == [0, 7, 14]
+    assert sum(b.num_rows for b in two_files.scan(Scan((1,), (Test(3, "is_null"),), limit=3)).batches()) == 3
+    with pytest.raises(Exception):
+        keys(two_files.scan(Scan((1,), limit=16)))
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_batches_before_a_broken_piece_come_out(two_files, workers):
+    s = two_files.scan(Scan((1,), batch_rows=5), Execution(workers, 2, 2 * (5 * (16 + 16) + 4096)))
+    got = []
+    with pytest.raises(Exception):
+        for b in s.batches():
+            got += b.column(0).to_pylist()
+    assert got == list(range(15))
+
+
+@pytest.mark.parametrize("workers", [1, 2, 4])
+def test_budgets_of_a_parallel_scan(seg30, workers):
+    plan = Scan((1, 2), (Test(3, "is_not_null"),), batch_rows=4)
+    want = [tuple(r) for r in seg30.scan(plan).frame().collect()]
+    s = seg30.scan(plan, Execution(workers, 3, 20_000))
+    batches = list(s.batches())
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == want
+    assert [b.num_rows for b in batches] == [4] * 6 + [1]
+    if workers > 1:
+        assert s.last.parallel_tasks == 6 and s.last.parallel_peak_in_flight <= 3 and s.last.parallel_peak_bytes <= 20_000
+
+
+def test_slices_and_concatenations(seg30):
+    s = seg30.scan(Scan((1,), batch_rows=7), Execution(1, 1, 1))  # a group at a time
+    assert [b.num_rows for b in s.batches()] == [7, 7, 7, 7, 2]
+    assert (s.last.output_slices, s.last.output_concatenations, s.last.rows_returned) == (4, 4, 30)
+
+
+def test_bytes_are_those_of_the_chosen_encodings(seg30):
+    m = seg30.scan(Scan((4,), (Test(1, "ge", 12),))).metrics()
+    size = {(r["__rg"], r["field"]): r["encoded_size"] for r in seg30.encodings().collect()}
+    assert m.predicate_bytes == size[2, 1] and m.projection_bytes == sum(size[g, 4] for g in (2, 3, 4, 5))
+
+
+def test_directory_is_checked_at_open(spark, tmp_path):
+    s = one(spark, tmp_path, "int64", list(range(20)), Layout(5, sort_key=(1,)), nullable=False)
+    for change in ({"rows": 21}, {"groups": 3}):
+        with pytest.raises(Corrupt, match="format.directory"):
+            Segment(spark, s.path, s.manifest | change).check_directory()
+    index = spark.read.parquet(f"{s.path}/index").collect()
+    turned = [r.asDict() | {"first_key": index[3 - k]["first_key"], "last_key": index[3 - k]["last_key"]} for k, r in enumerate(index)]
+    spark.createDataFrame(turned, spark.read.parquet(f"{s.path}/index").schema).write.mode("overwrite").parquet(f"{s.path}/index2")
+    os.rename(f"{s.path}/index", f"{s.path}/index1")
+    os.rename(f"{s.path}/index2", f"{s.path}/index")
+    with pytest.raises(Corrupt, match="index.order"):
+        Segment.open(spark, s.path)
+
+
+def test_ranges_of_groups():
+    from strataq.sources import segment
+
+    assert segment._runs([1, 2, 3, 7, 9, 10]) == [(1, 3), (7, 7), (9, 10)]
+    many = segment._runs([2 * k for k in range(1000)] + [5000])
+    assert len(many) == segment.MOST_RUNS and many[-1] == (5000, 5000) and many[0][0] == 0
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    schema, path = Schema(1, (Field(1, "key", "int64", False),)), str(tmp_path / "s")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "key long")
+    w = SegmentWriter(spark, path, schema, Layout(8))
+    w.append(rows(1, 2), 0)
+    w.append(rows(3), 1)
+    again = SegmentWriter(spark, path, schema, Layout(8), resume=True)
+    again.append(rows(3), 1)  # delivered again
+    again.append(rows(4), 2)
+    assert sorted(r[0] for r in again.finish().read_all().collect()) == [1, 2, 3, 4]
