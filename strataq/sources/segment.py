@@ -114,13 +114,13 @@ class SegmentWriter:
         self.rows = self.groups = self.appends = 0
         self.last_batch = -1
         self.finished = False
-        _delete(spark, f"{self.path}/manifest")
+        delete(spark, f"{self.path}/manifest")
         if resume and _exists(spark, f"{self.path}/journal"):
             noted = json.loads(_text(spark, f"{self.path}/journal"))
             self.rows, self.groups, self.appends, self.last_batch = (noted[k] for k in ("rows", "groups", "appends", "last_batch"))
             return
-        _delete(spark, f"{self.path}/journal")
-        _delete(spark, f"{self.path}/data")
+        delete(spark, f"{self.path}/journal")
+        delete(spark, f"{self.path}/data")
         self._empty().write.parquet(f"{self.path}/data/none")
 
     def _empty(self) -> DataFrame:
@@ -147,14 +147,14 @@ class SegmentWriter:
             ready.write.mode("overwrite").options(**options, **self._bloom_options()).parquet(part)
             rows = self._checked(part, self.spark.read.parquet(given).count())
         except (Invalid, Corrupt):
-            _delete(self.spark, part)  # nothing of a bad append stays
+            delete(self.spark, part)  # nothing of a bad append stays
             raise
         finally:
-            _delete(self.spark, given)
+            delete(self.spark, given)
         if batch is not None:
             self.last_batch = batch
         if not rows:
-            _delete(self.spark, part)
+            delete(self.spark, part)
             return self._note()
         self.rows += rows
         self.groups += -(-rows // self.layout.group_rows)
@@ -258,7 +258,8 @@ class SegmentWriter:
             m.size_fallbacks += r["f"]
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if there is one."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

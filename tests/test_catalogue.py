@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 from oracle import DATA, assert_same
 
@@ -32,3 +37,14 @@ def test_filter_and_columns_reach_the_scan(spark):
 def test_round_trip_of_a_table_behind_a_shuffle(spark):
     """sf0.1 has enough orders that the writer's jobs coalesce the sort differently."""
     assert_same(catalogue.queries()["roundtrip_all"](spark, f"{DATA}/sf0.1"), catalogue.oracle_sql()["roundtrip_all"], "sf0.1")
+
+
+def test_the_rest_stands_without_the_operators_for_training_data(tmp_path):
+    """A copy without the subpackage and the pipeline still has all engine queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(f"{root}/strataq", tmp_path / "strataq", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-W", "error", "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.stdout.split() == [str(len(catalogue.queries()))] * 2, done.stderr
