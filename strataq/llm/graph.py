@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,16 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataq.llm.workers import quiet
+from strataq.operators.groups import shared_folder
 
 
 def _shared(df: DataFrame) -> str:
     """The checkpoint folder, which ``spark.checkpoint.dir`` names; a folder of our
-    own only where the session names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    own only in a local session that names none."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

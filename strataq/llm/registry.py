@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from strataq.llm import bpe, embeddings, extraction, fingerprint, jaccard, licenses, packing, quality, substrings, toxicity
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_html": extraction.op8_html,
         "op9_quality": quality.op9_quality,
         "op10_embeddings": embeddings.op10_embeddings,
-        "pipeline": corpus_pipeline.run,
     }
 
 
