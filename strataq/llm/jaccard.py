@@ -354,8 +354,9 @@ def links(kept: DataFrame, sets_in) -> DataFrame:
     # a set outside visits the blocks that hold a set with a signature of its own
     rest = cut(pieces(classes).withColumn("side", side(0)))
     signed = kept.select(F.col("node").alias("by"), "sig").join(rest, "by").select("sig", "cluster", "side", "node", "outside")
-    homes = signed.select("sig", "cluster", F.col("side").alias("there")).distinct()
-    visits = signed.filter("outside").join(homes, ["sig", "cluster"]).filter("there != side").select("cluster", F.col("there").alias("side"), "node").distinct()
+    there = signed.groupBy("sig", "cluster").agg(F.collect_set("side").alias("sides"))  # blocks, not sets
+    visits = signed.filter("outside").join(there, ["sig", "cluster"]).groupBy("cluster", "node", "side").agg(F.collect_set("sides").alias("sides"))
+    visits = visits.select("cluster", "node", F.explode(F.array_remove(F.array_distinct(F.flatten("sides")), F.col("side"))).alias("side"))
     visits = cut(visits)
     hosts = visits.select("cluster", "side").distinct()
     homes = rest.join(hosts, ["cluster", "side"]).select("cluster", "side", at_home, "node")
