@@ -1,7 +1,7 @@
 """Quality: nearest-neighbour voting over latent-semantic vectors.
 
-Terms describe how a text is written: the shape of each word (case, digits and
-signs, runs drawn together), pairs of neighbouring shapes, and words that repeat
+Terms are hashed words, and how a text is written: the shape of each word (case, digits
+and signs, runs drawn together), pairs of neighbouring shapes, and words that repeat
 their predecessor.  A truncated singular value decomposition of the weighted terms
 of a bounded labelled sample gives the projection.  The labelled vectors (at most
 ``sum(MOST)`` of ``RANK`` numbers, under 1 MB) and the projection are broadcast;
@@ -12,6 +12,7 @@ and its nearest labelled neighbours vote with their similarity.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -22,22 +23,30 @@ from pyspark.sql import functions as F
 from strataq.llm.labelled import HELD_OUT, fold, training_sample
 from strataq.llm.workers import quiet
 
-SHAPES, PAIRS = 2048, 4096
-TERMS = SHAPES + PAIRS + 2  # the last two: a repeated word, a new word
+SHAPES, PAIRS, WORDS = 2048, 4096, 8192
+TERMS = SHAPES + PAIRS + WORDS + 2  # the last two: a repeated word, a new word
+WORD_WEIGHT = 0.25  # of the words' terms, which are many, against the others'
 MOST = {0: 2000, 1: 2000}  # labelled rows taken for training, by class
 RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 4  # power of the similarity in a vote
 THRESHOLD = 0.5
 BLOCK = 256  # documents compared together
-SHAPE_LENGTH = 6  # characters of a shape that are told apart
+SHAPE_LENGTH = 6  # kinds in one term of a shape; longer shapes are several terms
+
+# Shapes of most words without a look at each character.
+_lower, _title = re.compile("[a-z]+").fullmatch, re.compile("[A-Z][a-z]+").fullmatch
 
 
 def shape(word: str) -> str:
     """'A' upper case, 'a' lower case, '0' digit, 'x' other letters, signs as they
     are; a run of one kind counts once."""
+    if _lower(word):
+        return "a"
+    if _title(word):
+        return "Aa"
     out, last = [], ""
-    for ch in word[:64]:
+    for ch in word:
         c = ch
         if ch.isalpha():
             c = "A" if ch.isupper() else "a" if ch.islower() else "x"
@@ -46,8 +55,6 @@ def shape(word: str) -> str:
         if c != last:
             out.append(c)
             last = c
-            if len(out) == SHAPE_LENGTH:
-                break
     return "".join(out)
 
 
@@ -56,15 +63,42 @@ def shape_id(form: str) -> int:
     return zlib.crc32(form.encode("utf-8", "surrogatepass")) % SHAPES
 
 
+LONG = 1 << 40  # marks a word whose shape has further terms
+
+
 class _Words(dict):
-    """word -> number of its shape; emptied when large."""
+    """word -> number of its shape's first term, plus its own number << 16, plus LONG if
+    ``further`` has more terms of its shape; emptied when large."""
+
+    def __init__(self):
+        super().__init__()
+        self.further: dict[str, list[int]] = {}
+        self.chars = 0
 
     def __missing__(self, w: str) -> int:
-        if len(self) > 150_000:
+        self.chars += len(w) + 150
+        if self.chars > 20_000_000:
             self.clear()
-        out = self[w] = shape_id(shape(w))
+            self.further.clear()
+            self.chars = len(w) + 150
+        form = shape(w)
+        out = shape_id(form[:SHAPE_LENGTH]) | SHAPES + PAIRS + zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % WORDS << 16
+        if len(form) > SHAPE_LENGTH:
+            out |= LONG
+            self.further[w] = [shape_id(form[k : k + SHAPE_LENGTH]) for k in range(SHAPE_LENGTH, len(form), SHAPE_LENGTH)]
+        self[w] = out
         return out
 
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Shapes and numbers of some words, and further terms of their shapes."""
+        found = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        further: list[int] = []
+        for k in np.flatnonzero(found & LONG).tolist():
+            if words[k] not in self.further:
+                self.__missing__(words[k])  # the table was emptied on the way
+            further += self.further[words[k]]
+        return found & 0xFFFF, found >> 16 & 0xFFFF, further
+
 
 _words = _Words()
 
@@ -74,10 +108,10 @@ def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     words = (text or "").split()
     if not words:
         return np.zeros(0, np.int64), np.zeros(0)
-    ids = np.fromiter([_words[w] for w in words], np.int64, len(words))
+    ids, own, further = _words.of(words)
     pairs = SHAPES + (ids[:-1] * 31 + ids[1:] * 17) % PAIRS
-    repeated = sum([a == b for a, b in zip(words, words[1:])])
-    tally = np.bincount(np.concatenate([ids, pairs]), minlength=TERMS).astype(float)
+    repeated = sum(map(str.__eq__, words, words[1:]))
+    tally = np.bincount(np.concatenate([ids, pairs, own, np.array(further, np.int64)]), minlength=TERMS).astype(float)
     tally[TERMS - 2], tally[TERMS - 1] = repeated, len(words) - repeated
     terms = np.flatnonzero(tally)
     return terms, tally[terms]
@@ -127,6 +161,7 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
     for terms, _ in rows:
         df[terms] += 1
     weight = np.where(df > 0, np.log((n + 1) / (df + 0.5)) + 0.3, 0.0)
+    weight[SHAPES + PAIRS : TERMS - 2] *= WORD_WEIGHT
     matrix = np.zeros((n, TERMS), np.float32)
     for i, (terms, tally) in enumerate(rows):
         if len(terms):
@@ -182,7 +217,11 @@ def score_table(docs: DataFrame, model: Neighbours, keep: list[str] = ["doc_id"]
 
 
 def good(docs: DataFrame, model: Neighbours) -> DataFrame:
-    """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns."""
+    """The rows of ``docs`` with a score of THRESHOLD or more, with all their columns.
+
+    Null and empty texts, and texts without a known term, score the share of label 1
+    among the training labels, and stay if that is THRESHOLD or more.  Null ids, repeated
+    rows and further columns pass as they are; an empty table gives no rows."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)

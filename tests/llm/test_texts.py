@@ -7,7 +7,9 @@ import pytest
 from helpers import words
 from oracle import DATA
 
-from strataq.llm import extraction, fingerprint, licenses, pages_made, quality, toxicity
+from pyspark.sql import functions as F
+
+from strataq.llm import bpe, extraction, fingerprint, jaccard, licenses, packing, pages_made, quality, substrings, toxicity
 from strataq.llm.dom import Page
 from strataq.llm.labelled import fold
 
@@ -234,3 +236,46 @@ def test_registered_queries_run(spark, sf):
 
     for name, query in registry.queries().items():
         assert query(spark, f"{DATA}/{sf}").count() > 0, name
+
+
+def test_terms_see_whole_words():
+    """No prefix: a change at the end of a long word changes terms and counts."""
+    long = "ab" * 400 + "1-2-3-4"
+    a, b = quality.counts(long), quality.counts(long + "-5")
+    assert a[0].tolist() != b[0].tolist()
+    assert quality.shape("Ab1-c.D2") == "Aa0-a.A0" and quality.shape("ÉTÉx日") == "Aax"
+    terms, n = quality.counts("x1-x1-x1-x1- x1-x1-x1-x1- plain plain")
+    assert n.sum() == 4 + 3 + 4 + 2 * 1 + 4  # first terms, pairs, words, further terms, repeated or new
+
+
+def test_a_table_of_words_that_is_emptied_gives_the_same():
+    words_ = [f"w{i}-{i % 7}.{i % 3}-{i}" for i in range(500)]
+    text = " ".join(words_ * 3)
+    want = quality.counts(text)
+    quality._words.chars = 30_000_000
+    got = quality.counts(text)
+    assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_very_long_texts(spark, docs):
+    """Texts of some hundred thousand words, and a word of a million characters."""
+    rng = random.Random(3)
+    long = " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(rng.randrange(50)) for _ in range(150_000))
+    rows = [(1, long), (2, long + " tail"), (3, "y" * 1_000_000), (4, "under the mit license " + long), (5, None)]
+    frame = docs(rows)
+    got = {r["doc_id"]: r for r in jaccard.join(frame).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5} and got[3]["n_shingles"] == 1
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.dedup(frame).collect()}
+    assert cut == {1: (150_000, 0), 2: (150_001, 150_000), 3: (1, 0), 4: (150_004, 150_000), 5: (0, 0)}
+    base = {r["doc_id"]: (r["n_words"], r["base_labels"], r["first_word"]) for r in licenses.scan(frame).collect()}
+    assert base[4] == (150_004, "mit", 0) and base[1] == (150_000, "", None)
+    pieces = packing.pack(frame, bpe.vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert len(pieces) == 5 and all(r["n"] == r["t"] for r in pieces)
+    sign = {r["doc_id"]: r for r in fingerprint.fingerprints(frame).collect()}
+    assert sign[1]["n_chars"] == len(long) and sign[1]["near_next"] > 0.8 and sign[2]["near_next"] < 0.2
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 6)], "doc_id long, quality int, toxic int")
+    assert quality.score_table(frame, quality.fit(frame, labels)).count() == 5
+    assert toxicity.score_table(frame, toxicity.fit(frame, labels)).count() == 5
+    page = "<html><body><article>" + f"<p>{long[:900_000]}.</p>" + "</article></body></html>"
+    pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert extraction.extract(pages, extraction.default_model()).first()["n_chars"] > 890_000
