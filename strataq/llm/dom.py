@@ -6,8 +6,9 @@ import html
 import re
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Elements whose text is never page text; they hold raw text up to their end tag.
-RAW = frozenset("script style template noscript iframe textarea title xmp noembed noframes".split())
+# Scripts, styles, titles and form fields, whose text is never page text; they hold raw
+# text up to their end tag.  What other elements hold is left to the model.
+RAW = frozenset("script style textarea title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -37,19 +38,19 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-LABEL = re.compile(r"data-keep")
 
 
 class Page:
     """Nodes in document order: ``tag`` ("" for text), ``names`` (class, id and
     role), ``parent`` (-1 for the root), ``text`` of text nodes, and ``block``, the
-    number of block borders seen before the node."""
+    number of block borders seen before the node.  Marks of a ``labelled`` page are read
+    for ``labels``."""
 
     __slots__ = ("tag", "names", "parent", "text", "block", "keep")
 
-    def __init__(self, source: str | None):
+    def __init__(self, source: str | None, labelled: bool = False):
         self.tag, self.names, self.parent, self.text, self.block, self.keep = ["#root"], [""], [-1], [""], [0], [False]
-        self._read(source or "")
+        self._read(source or "", labelled)
 
     def _add(self, tag, names, parent, text, block):
         self.tag.append(tag)
@@ -59,7 +60,7 @@ class Page:
         self.block.append(block)
         return len(self.tag) - 1
 
-    def _read(self, s: str):
+    def _read(self, s: str, labelled: bool):
         stack, tags, at, block, size = [0], ["#root"], 0, 0, len(s)
         count: dict[str, int] = {}  # open elements of each tag
         scan = TOKEN.search
@@ -105,7 +106,7 @@ class Page:
             raw = m[3] or ""
             names = " ".join([a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(raw)]) if "=" in raw else ""
             node = self._add(name, names.lower(), stack[-1], "", block)
-            if "data-keep" in raw:
+            if labelled and "data-keep" in raw:
                 self.keep += [False] * (node + 1 - len(self.keep))
                 self.keep[node] = True
             if name not in VOID and not raw.endswith("/"):

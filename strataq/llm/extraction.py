@@ -156,7 +156,7 @@ def train(pages: list[str], epochs: int = EPOCHS, seed: int = 1) -> Model:
     w_memory, e_memory = np.full(FEATURES, 1e-2), np.full(4, 1e-2)
     ready = []
     for source in pages:
-        page = Page(source)
+        page = Page(source, labelled=True)
         ready.append((page.parent, features(page), page.labels()))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):

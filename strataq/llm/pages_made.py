@@ -135,6 +135,8 @@ def _article(r) -> str:
             parts.append(f"<figure><img src=x><figcaption>{_sentence(r)}</figcaption></figure>")
         elif k < 0.92:
             parts.append(f"<pre>{_words(r, 3, 12)}</pre>")
+        elif k < 0.93:
+            parts.append("<ul>" + "".join(f'<li><a href="/{_word(r)}">{_words(r, 1, 6)}</a>{"</li>" * (r.random() < 0.8)}' for _ in range(r.randint(1, 5))) + "</ul>")
         elif k < 0.95:
             parts.append("<table>" + "".join(f"<tr><td>{_words(r, 1, 4)}</td><td>{_words(r, 1, 4)}</td></tr>" for _ in range(3)) + "</table>")
         else:

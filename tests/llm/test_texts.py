@@ -1,12 +1,13 @@
 import hashlib
+import html
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 from helpers import words
 from oracle import DATA
-
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe, extraction, fingerprint, jaccard, licenses, packing, pages_made, quality, substrings, toxicity
@@ -101,7 +102,7 @@ def test_html_held_out():
     m = extraction.default_model()
     right = wrong = 0
     for i in range(20_000, 20_150):
-        page = Page(pages_made.page(i))
+        page = Page(pages_made.page(i), labelled=True)
         labels, p = page.labels(), m.keep(page)
         for k in range(1, len(p)):
             if not page.tag[k] and not page.text[k].isspace():
@@ -279,3 +280,34 @@ def test_very_long_texts(spark, docs):
     page = "<html><body><article>" + f"<p>{long[:900_000]}.</p>" + "</article></body></html>"
     pages = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
     assert extraction.extract(pages, extraction.default_model()).first()["n_chars"] > 890_000
+
+
+def article_by_rule(source):
+    """What the tables' pages hold as article: all between its tags, blocks apart."""
+    found = re.search(r"<article>(.*?)</article>", source or "", re.S)
+    inside = re.sub(r"</?(?:b|i|em|a)\b[^>]*>|<!--.*?-->", "", found[1] if found else "", flags=re.S)
+    return " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inside)).split())
+
+
+def test_extraction_of_all_pages_against_a_rule(spark):
+    pages = spark.read.parquet(f"{DATA}/sf0.01/pages.parquet")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in extraction.op8_html(spark, f"{DATA}/sf0.01").collect()}
+    assert got == {i: article_by_rule(s) for i, s in source.items()}
+
+
+def test_extraction_of_pages_it_was_not_trained_on():
+    m, right, texts = extraction.default_model(), 0, 0
+    for seed in range(100_000, 100_100):
+        page = Page(pages_made.page(seed), labelled=True)
+        for tag, text, p, y in zip(page.tag, page.text, m.keep(page), page.labels()):
+            if not tag and not text.isspace():
+                texts += 1
+                right += (p > 0.5) == y
+    assert right / texts > 0.98
+
+
+def test_marks_of_labelled_pages_mean_nothing_elsewhere():
+    source = "<div><p data-keep>One two three.</p></div>"
+    assert sum(Page(source).labels()) == 0 and sum(Page(source, labelled=True).labels()) > 0
+    assert "quiet" in " ".join(Page("<noscript><p>quiet</p></noscript><iframe>x</iframe>").text)
