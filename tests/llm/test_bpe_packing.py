@@ -141,3 +141,27 @@ def test_a_word_table_that_is_emptied_gives_the_same(monkeypatch):
     monkeypatch.setattr(bpe, "TABLE_BYTES", 1000)
     table = bpe.WordTable(PATH, lambda ids: np.array(ids, "<u4").tobytes())
     assert [np.frombuffer(b"".join(r), "<u4").tolist() for r in table.rows(texts, 500)] == want
+
+
+def slow_differencing(sizes, k):
+    """Multiway largest differencing with lists of (sum, pieces), spelled out."""
+    parts = [sorted([(s, [i])] + [(0, [])] * (k - 1), key=lambda x: -x[0]) for i, s in enumerate(sizes)]
+    age = list(range(len(parts)))
+    while len(parts) > 1:
+        order = sorted(range(len(parts)), key=lambda j: (-(parts[j][0][0] - parts[j][-1][0]), age[j]))
+        x, y = order[:2]
+        both = [(a[0] + b[0], a[1] + b[1]) for a, b in zip(parts[x], reversed(parts[y]))]
+        least = min(s for s, _ in both)
+        both = sorted([(s - least, p) for s, p in both], key=lambda z: -z[0])
+        newest = max(age) + 1
+        parts, age = [p for j, p in enumerate(parts) if j not in (x, y)] + [both], [a for j, a in enumerate(age) if j not in (x, y)] + [newest]
+    return sorted(sum(sizes[i] for i in p) for _, p in parts[0])
+
+
+def test_differencing_against_the_spelled_out_method():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        k, n = int(rng.integers(2, 7)), int(rng.integers(3, 40))
+        sizes = rng.integers(1, 1000, n)
+        fill = np.bincount(packing.differencing(sizes, k), sizes, k)
+        assert sorted(fill.astype(int).tolist()) == slow_differencing(sizes.tolist(), k)

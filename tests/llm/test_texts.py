@@ -1,11 +1,13 @@
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from helpers import words
 from oracle import DATA
 from pyspark.sql import functions as F
@@ -311,3 +313,53 @@ def test_marks_of_labelled_pages_mean_nothing_elsewhere():
     source = "<div><p data-keep>One two three.</p></div>"
     assert sum(Page(source).labels()) == 0 and sum(Page(source, labelled=True).labels()) > 0
     assert "quiet" in " ".join(Page("<noscript><p>quiet</p></noscript><iframe>x</iframe>").text)
+
+
+def brute_signature(text):
+    """Smallest ln a of each sample over the weighted word pairs, term by term, with the
+    hashes that the DataFrame functions stand for."""
+    seeded = lambda data, seed: xxhash.xxh64_intdigest(data, seed % 2**64)
+    r_table, c_table = fingerprint.tables()
+    w = [x for x in re.split(r"[\x20\x09-\x0d]+", text) if x]
+    weights = {}
+    for a, b in zip(w, [*w[1:], None]):
+        h = seeded(a.encode(), 42)
+        weights[h if b is None else seeded(b.encode(), h)] = weights.get(h if b is None else seeded(b.encode(), h), 0) + 1
+    out = []
+    for j in range(fingerprint.SAMPLES):
+        best = None
+        for h, n in weights.items():
+            x = seeded((j // 2).to_bytes(4, "little"), seeded(h.to_bytes(8, "little"), 42))
+            at = 32 * (j % 2)
+            y = (x >> at & 4095) | (x >> (32 - at if at else 32) & 4095) << 12 | 1 << (fingerprint.OCTAVES - 1)
+            octave = (y & -y).bit_length() - 1
+            ln_c = c_table[octave * fingerprint.PARTS + (x >> at + 12 & fingerprint.PARTS - 1)]
+            r = r_table[x >> at + 15 & fingerprint.R_CELLS - 1]
+            b = ((x >> at + 19 & 8191) + 0.5) / 8192
+            t = 0.0 if n == 1 else math.floor(math.log(n) / r + b)
+            ln_a = ln_c - r * (t - b + 1.0)
+            best = ln_a if best is None else min(best, ln_a)
+        out.append(best)
+    return out
+
+
+def test_signatures_against_brute_force(spark, docs):
+    rng = random.Random(21)
+    texts = [words(rng, n) for n in (1, 2, 40, 200)] + ["aa aa aa bb aa aa cc " * 9, ""]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprints(docs(texts)).collect()}
+    values = {i: brute_signature(t) for i, t in enumerate(texts)}
+    flat = [(i, j, float(v)) for i, s in values.items() for j, v in enumerate(s) if v is not None]
+    named = {(r["i"], r["j"]): r["h"] for r in spark.createDataFrame(flat, "i int, j int, v double").selectExpr("i", "j", "lpad(lower(hex(xxhash64(v) & 4294967295)), 8, '0') AS h").collect()}
+    for i in range(len(texts)):
+        assert got[i]["fingerprint"] == "".join(named.get((i, j), "--------") for j in range(fingerprint.SAMPLES))
+    for i in range(len(texts) - 1):
+        same = sum(a == b for a, b in zip(values[i], values[i + 1]))
+        assert got[i]["near_next"] == same / fingerprint.SAMPLES
+
+
+def test_licence_scores_grow_with_agreement(spark, docs):
+    whole = licenses.OWN[0][1]
+    w = whole.split()
+    rows = [whole, " ".join(w[:12] + ["x"] + w[13:]), " ".join(["y"] * 20 + w[20:]), "nothing of this kind", "the the software permission"]
+    got = [r["score"] for r in sorted(licenses.scan(docs(rows)).collect(), key=lambda r: r["doc_id"])]
+    assert got[0] == 1.0 and 1.0 > got[1] >= got[2] and got[3] == 0.0
