@@ -146,3 +146,62 @@ def report(df: DataFrame, column: str, kind: str, sample_rows: int, forced: str
         chosen = whole.join(picked, group)
     kept = chosen.withColumn("encoding_id", Z.fallback(F.col("chosen_id"), Z.size_of(F.col("chosen_id"), columns), F.col("plain_size"), forced is not None))
     return kept.select(group, "row_count", "chosen_id", "encoding_id", Z.size_of(F.col("encoding_id"), columns).alias("encoded_size"), "plain_size")
+
+
+def _of_chunk(column: str, kind: str, suffix: str, on=None) -> list:
+    """Aggregates of one column that the sizes need, over the rows that ``on`` holds for;
+    ``__brk_<column>`` must be there.  Distinct values are gathered, at most those of a
+    row group."""
+    here = F.lit(True) if on is None else on
+    c = F.when(here, F.col(column))
+    out = [F.count_if(here).alias(f"n_{suffix}"), (F.count_if(here) - F.count(c)).alias(f"nulls_{suffix}")]
+    if kind in S.VARIABLE:
+        out.append(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"bytes_{suffix}"))
+    if Z.supports("dictionary", kind):
+        out.append(F.collect_set(c).alias(f"values_{suffix}"))
+    if Z.supports("rle", kind):
+        out.append(F.sum(F.when(here, F.col(f"__brk_{column}"))).alias(f"runs_{suffix}"))
+    if Z.supports("for", kind):
+        x = c
+        if S.is_timestamp(kind) and "ns" not in kind:
+            x = F.unix_micros(c if "," in kind else c.cast("timestamp"))
+        x = x.cast("decimal(38,0)")
+        out.append((F.max(x) - F.min(x)).alias(f"spread_{suffix}"))
+    return out
+
+
+def report_all(df: DataFrame, fields: list[tuple[int, str, str, str | None]], sample_rows: int, group: str = GROUP, position: str = POSITION) -> DataFrame:
+    """``report`` of several columns, given as (field, column, kind, forced encoding),
+    with a column ``field``: one reading, one window and one aggregation for all."""
+    w = Window.partitionBy(group).orderBy(position)
+    marks = [F.row_number().over(w).alias("__k")]
+    for _, column, kind, _ in fields:
+        if Z.supports("rle", kind):
+            same = F.col(column).eqNullSafe(F.lag(column).over(w)) & (F.row_number().over(w) > 1)
+            marks.append(F.when(same, 0).otherwise(1).alias(f"__brk_{column}"))
+    rows = df.select(group, *[c for _, c, _, _ in fields], *marks)
+    sampled = F.col("__k") <= sample_rows
+    measures = []
+    for field, column, kind, _ in fields:
+        measures += _of_chunk(column, kind, f"{field}_x") + _of_chunk(column, kind, f"{field}_s", sampled)
+    chunks = rows.groupBy(group).agg(*measures)
+    derived = {}
+    for field, _, kind, _ in fields:
+        if Z.supports("dictionary", kind):
+            for suffix in (f"{field}_x", f"{field}_s"):
+                derived[f"distinct_{suffix}"] = F.size(f"values_{suffix}").cast("long")
+                if kind in S.VARIABLE:
+                    derived[f"dbytes_{suffix}"] = F.aggregate(f"values_{suffix}", F.lit(0).cast("long"), lambda total, v: total + F.octet_length(v))
+    chunks = chunks.select(*[c for c in chunks.columns if not c.startswith("values_")], *[c.alias(n) for n, c in derived.items()])
+    each = []
+    for field, _, kind, forced in fields:
+        whole, sample = (_sizes(kind, f"{field}_{t}", F.col(f"dbytes_{field}_{t}") if kind in S.VARIABLE else None) for t in "xs")
+        chosen = Z.choose(kind, sample) if forced is None else F.lit(Z.ENCODINGS[forced])
+        kept = Z.fallback(chosen, Z.size_of(chosen, whole), whole["plain"], forced is not None)
+        each.append(
+            F.struct(
+                F.lit(field).alias("field"), F.col(f"n_{field}_x").alias("row_count"), chosen.cast("int").alias("chosen_id"), kept.alias("encoding_id"),
+                Z.size_of(kept, whole).alias("encoded_size"), whole["plain"].alias("plain_size"),
+            )
+        )
+    return chunks.select(group, F.explode(F.array(*each)).alias("e")).select(group, "e.*")

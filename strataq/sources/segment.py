@@ -222,12 +222,9 @@ class SegmentWriter:
         for i in self.layout.bloom:
             built = bloom.build(data, S.column(i), bits, self.schema.by_id(i).kind in S.FLOATS)
             built.write.mode("overwrite").parquet(f"{self.path}/bloom_{i}")
-        chunks = None
-        for f in self.schema.fields:
-            one = encodings.report(data, S.column(f.id), f.kind, self.layout.sample_rows, self.layout.forced.get(f.id)).withColumn("field", F.lit(f.id))
-            chunks = one if chunks is None else chunks.unionByName(one)
-        if chunks is not None:
-            chunks.write.mode("overwrite").parquet(f"{self.path}/encodings")
+        if self.schema.fields:
+            fields = [(f.id, S.column(f.id), f.kind, self.layout.forced.get(f.id)) for f in self.schema.fields]
+            encodings.report_all(data, fields, self.layout.sample_rows).write.mode("overwrite").parquet(f"{self.path}/encodings")
             self._count(self.spark.read.parquet(f"{self.path}/encodings"))
         files = integrity.file_checksums(self.spark, f"{self.path}/data", f"{self.path}/index")
         files.select(relative.alias("path"), "length", "crc32c").write.mode("overwrite").parquet(f"{self.path}/files")

@@ -114,3 +114,21 @@ def test_crc32c():
 @given(st.binary(max_size=300))
 def test_crc32c_random(data):
     assert crc32c(data) == _bitwise(data)
+
+
+def test_the_report_on_all_columns_is_that_on_each(spark):
+    kinds = {"f1": "int64", "f2": "string", "f3": "bool", "f4": "float64", "f5": "timestamp[us]", "f6": "binary", "f7": "uint8", "f8": "timestamp[ms, UTC]"}
+    df = spark.range(1000).selectExpr(
+        "id AS __pos", "id div 130 AS __rg", "IF(id % 7 = 0, NULL, id div 40 * 1000003) AS f1", "IF(id % 11 = 0, NULL, concat('v', id % 9)) AS f2", "id % 100 < 60 AS f3",
+        "CAST(id AS DOUBLE) AS f4", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS f5", "CAST(repeat('x', CAST(id % 5 AS INT)) AS BINARY) AS f6",
+        "CAST(id % 200 AS SHORT) AS f7", "CAST(NULL AS TIMESTAMP) AS f8",
+    )
+    fields = [(int(c[1:]), c, k, "rle" if c == "f7" else None) for c, k in kinds.items()]
+    got = {(r["field"], r["__rg"]): r for r in E.report_all(df, fields, 50).collect()}
+    assert len(got) == 8 * 8
+    for field, column, kind, forced in fields:
+        for r in E.report(df, column, kind, 50, forced).collect():
+            mine = got[field, r["__rg"]]
+            assert [mine[c] for c in ("row_count", "chosen_id", "encoding_id", "encoded_size", "plain_size")] == [
+                r[c] for c in ("row_count", "chosen_id", "encoding_id", "encoded_size", "plain_size")
+            ], (column, r)
