@@ -362,6 +362,23 @@ class Segment:
         """All rows in order."""
         return self.scan(Scan(tuple(f.id for f in self.schema.fields))).frame()
 
+    def take(self, positions: list[int], project: tuple[int, ...] | None = None) -> DataFrame:
+        """Rows at some positions, in order.  Positions must ascend without repetition
+        and lie in the dataset; ranges of them reach Parquet's statistics."""
+        if any(isinstance(p, bool) or not isinstance(p, int) for p in positions):
+            raise Invalid("selection.type", "positions are whole numbers")
+        if any(b <= a for a, b in zip(positions, positions[1:])):
+            raise Invalid("selection.order", "positions must ascend without repetition")
+        if positions and not (0 <= positions[0] and positions[-1] < self.num_rows):
+            raise Invalid("selection.bounds", f"positions must lie in 0 to {self.num_rows - 1}")
+        plan = Scan(tuple(f.id for f in self.schema.fields) if project is None else project)
+        columns = resolve(plan, self.schema, self.layout).output()
+        if not positions:
+            return self._data().limit(0).select(*columns)
+        rows = self._data().filter(_within(_runs(positions), POSITION))
+        wanted = self.spark.createDataFrame([(p,) for p in positions], f"{POSITION} long")
+        return rows.join(wanted, POSITION, "left_semi").orderBy(POSITION).select(*columns)
+
     def scan(self, plan: Scan, execution: Execution | None = None) -> "ScanResult":
         return ScanResult(self, resolve(plan, self.schema, self.layout), (execution or Execution()).validate())
 
@@ -397,8 +414,8 @@ def _runs(numbers: list[int]) -> list[tuple[int, int]]:
     return [tuple(r) for r in out]
 
 
-def _within(runs: list[tuple[int, int]]) -> Column:
-    return reduce(Column.__or__, [F.col(GROUP) == a if a == b else F.col(GROUP).between(a, b) for a, b in runs])
+def _within(runs: list[tuple[int, int]], column: str = GROUP) -> Column:
+    return reduce(Column.__or__, [F.col(column) == a if a == b else F.col(column).between(a, b) for a, b in runs])
 
 
 class ScanResult:

@@ -449,3 +449,11 @@ def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     again.append(rows(3), 1)  # delivered again
     again.append(rows(4), 2)
     assert sorted(r[0] for r in again.finish().read_all().collect()) == [1, 2, 3, 4]
+
+
+def test_take(seg30):
+    got = lambda p, **k: [r[0] for r in seg30.take(p, **k).collect()]
+    assert got([0, 3, 4, 29]) == [0, 3, 4, 29] and got([]) == [] and got([7], project=(3,)) == [None]
+    for bad in ([3, 3], [4, 2], [-1], [30], [1.0], [True]):
+        with pytest.raises(Invalid):
+            seg30.take(bad)
