@@ -125,18 +125,18 @@ def signatures(s: np.ndarray, finer: int = 1) -> tuple[np.ndarray, int, bool]:
 
 def _sent(rows: DataFrame, ranges: int, finer: int) -> DataFrame:
     """Signatures of every set on their way to the owners of their ranges, and for each
-    set the least number it shares; a set that has too few parts tells item -1."""
+    set the least number it shares; a set that has too few parts tells the item THIN."""
 
     @quiet
     def run(batches):
         mine, seen = Sender(ranges), set()
         for b in batches:
             for s in sets_of(b.column(0)):
-                if len(s) and (node := node_of(s)) not in seen:  # copies in one task send once
-                    seen.add(node)
+                if len(s) and (names := (node_of(s), node_of(s, 1))) not in seen:  # copies in one task send once
+                    seen.add(names)
                     sigs, least, enough = signatures(s, finer)
-                    mine.add(node, sigs)
-                    mine.tell(node, least)
+                    mine.add(names[0], sigs)
+                    mine.tell(names[0], least)
                     if not enough:
                         mine.tell(THIN, 0)
                     if mine.full():

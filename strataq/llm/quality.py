@@ -162,19 +162,26 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
         df[terms] += 1
     weight = np.where(df > 0, np.log((n + 1) / (df + 0.5)) + 0.3, 0.0)
     weight[SHAPES + PAIRS : TERMS - 2] *= WORD_WEIGHT
-    matrix = np.zeros((n, TERMS), np.float32)
-    for i, (terms, tally) in enumerate(rows):
-        if len(terms):
-            matrix[i, terms] = np.sqrt(tally / tally.sum()) * weight[terms]
     rank = max(1, min(RANK, n))
     used = np.flatnonzero(df)
-    small = matrix[:, used].astype(float)
     if not n or not len(used):
         return Neighbours(weight, np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0), prior)
-    basis = np.linalg.qr(small.T @ np.random.default_rng(seed).normal(size=(n, min(rank + 8, n))))[0]
+    place = np.zeros(TERMS, np.int64)
+    place[used] = np.arange(len(used))
+    matrix = np.zeros((n, len(used)), np.float32)  # the largest array: 4 bytes a row and term
+    for i, (terms, tally) in enumerate(rows):
+        if len(terms):
+            matrix[i, place[terms]] = np.sqrt(tally / tally.sum()) * weight[terms]
+    del rows
+
+    def spanned(x: np.ndarray) -> np.ndarray:
+        return np.linalg.qr((matrix.T @ x.astype(np.float32)).astype(float))[0]
+
+    basis = spanned(np.random.default_rng(seed).normal(size=(n, min(rank + 8, n))))
     for _ in range(4):
-        basis = np.linalg.qr(small.T @ (small @ basis))[0]
-    _, _, vt = np.linalg.svd(small @ basis, full_matrices=False)
+        basis = spanned(matrix @ basis.astype(np.float32))
+    _, _, vt = np.linalg.svd((matrix @ basis.astype(np.float32)).astype(float), full_matrices=False)
+    del matrix
     projection = np.zeros((TERMS, min(rank, vt.shape[0])))
     projection[used] = (basis @ vt.T)[:, :rank]
     model = Neighbours(weight, projection, np.zeros((0, 1)), labels, prior)
