@@ -379,7 +379,7 @@ def concurrent_requests(spark, sf_dir):
         return spark.createDataFrame(list(pool.map(ask, range(4))), "request long, rows long")
 
 
-_SEGMENT_PLANS = {
+SEGMENT_PLANS = {
     "segment_filter": Scan((6, 1), (Test(1, "ge", 300), Test(6, "ge", 20))),
     "segment_range": Scan((1, 4), key_range=KeyRange((100,), (900,))),
     "segment_bloom": Scan((1, 3), (Test(3, "eq", 11),)),
@@ -389,7 +389,7 @@ _SEGMENT_PLANS = {
 
 
 def queries() -> dict:
-    out = {name: view.scan(plan) for name, (view, plan, _) in _plans().items()} | {name: _on_segment(plan) for name, plan in _SEGMENT_PLANS.items()}
+    out = {name: view.scan(plan) for name, (view, plan, _) in _plans().items()} | {name: _on_segment(plan) for name, plan in SEGMENT_PLANS.items()}
     for f in (
         empty_projection_count, zone_map, zone_map_nan_guard, sort_bounds, sort_violations, sort_violations_composite, group_classifier,
         scan_counters, rle_runs, rle_decode, dictionary_codes, dictionary_decode, for_params, for_deltas, for_decode, plain_sizes, compact_sizes,
