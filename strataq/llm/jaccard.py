@@ -15,17 +15,24 @@ is lost.
 The same bound says how many signatures ``g`` a set shares with any set it links with.
 The owners of ranges of signatures (``ranges``) tell each set which of its signatures
 other sets have; with fewer than ``g`` of them (a document that only shares a passage)
-it links with nothing, and of ``c`` it keeps the first ``c - g + 1`` in an order that is
-the same everywhere, so that linked sets keep a common one.  Both prune exactly.
-
-Sets that are connected by kept signatures form a cluster.  Their texts are read once
-more.  No pairs are spelled out: a cluster is split into blocks of bounded size, a task
-looks up the shingles of each set among those of a block, and sends the edges of a
-forest.  First every block meets itself, twice, dealt differently.  Then, in clusters
-that are still in several pieces, the sets outside the largest piece visit the blocks
-that hold a set with a signature of theirs.  Rows sent grow with these visits; a
-cluster of many sets that share signatures but don't link is the worst case, since
-then every set visits most blocks.
+it links with nothing and is done.
+
+The texts of the others are read once more, and their shingles themselves go to owners of
+ranges.  Two sets that link share 80 % of the shingles of either, so a set of ``n``
+shingles of which ``c`` are shared links with nothing if ``c < 0.8 n``, and else keeps the
+``c - 0.8 n + 1`` rarest of them, by the power of two of the number of sets that have
+them.  The order is the same everywhere, so linked sets keep a common shingle.  Passages
+that many sets have come last in it and join no sets that don't link.  All this prunes
+exactly.
+
+Sets that are connected by kept shingles form a cluster.  No pairs are spelled out: a
+cluster is split into blocks of bounded size, a task looks up the shingles of each set
+among those of a block, and sends the edges of a forest.  First every block meets itself,
+twice, dealt differently.  Then, in clusters that are still in several pieces, the sets
+outside the largest piece visit the blocks that hold a set with a kept shingle of theirs.
+Rows sent grow with these visits; very many sets of which each shares 80 % of its shingles
+with others, none of them rare, and that don't link are the worst case, since then every
+set visits most blocks.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm.graph import components, cut, join_spread, shelve
-from strataq.llm.ranges import SENT, Sender, answered, ranges_for, unpacked
+from strataq.llm.ranges import SENT, Sender, answered, named_by, ranges_for, unpacked
 from strataq.llm.wordbatch import Words, mix, slices, windows
 from strataq.llm.workers import quiet
 
@@ -147,10 +154,46 @@ def _sent(rows: DataFrame, ranges: int, finer: int) -> DataFrame:
     return rows.select("text").mapInArrow(run, SENT)
 
 
+def _able(answers: DataFrame) -> DataFrame:
+    """(node,) of the sets that share the ``g`` signatures that they need to link at all."""
+
+    def run(batches):
+        for b in batches:
+            on = []
+            for packed in b.column(1).to_pylist():
+                names = unpacked(packed)
+                k = np.searchsorted(names, np.uint64(1 << 63))
+                on.append(k >= (int(names[k:].min() - np.uint64(1 << 63)) if k < len(names) else 1))
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(on, pa.bool_()))], names=["node"])
+
+    return answers.filter(F.col("item") != THIN).mapInArrow(run, "node long")
+
+
+def _sent_shingles(sets: DataFrame, ranges: int) -> DataFrame:
+    """Shingles of (node, set) on their way to the owners of their ranges, and for each
+    set the least number it shares with a set it links with."""
+
+    @quiet
+    def run(batches):
+        mine = Sender(ranges, counted=True)
+        for b in batches:
+            for node, s in zip(*(c.to_pylist() for c in b.columns)):
+                s = np.frombuffer(s, np.uint64)
+                mine.add(node, s)
+                same = len(s) - len(np.unique(named_by(s, ranges)))  # shingles that get one name count once
+                mine.tell(node, max(1, -(-80 * len(s) // 100) - same))
+                if mine.full():
+                    yield mine.batch()
+        if mine.size:
+            yield mine.batch()
+
+    return sets.select("node", "set").mapInArrow(run, SENT)
+
+
 def _kept(answers: DataFrame) -> DataFrame:
-    """(sig, node): of a node's ``c`` shared signatures the first ``c - g + 1``, if it
-    has the ``g`` that it needs to link at all.  Signatures are in the order of their
-    names everywhere, so linked sets keep one that both have."""
+    """(sig, node): of a node's ``c`` shared shingles the first ``c - g + 1``, if it
+    has the ``g`` that it needs to link at all.  Shingles are in the order of their
+    counted names everywhere, so linked sets keep one that both have."""
 
     def run(batches):
         for b in batches:
@@ -299,35 +342,34 @@ def _compare(placed: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, by, root, size, set) of the sets in clusters, from one row of each:
-    ``wanted`` has (k, h, node, by, root), the id and a hash of the text of that row."""
+    """(node, size, set) of some sets, from one row of each: ``wanted`` has (k, h, node),
+    the id and a hash of the text of that row."""
     rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("h"), "text")
-    rows = rows.join(wanted, ["k", "h"]).select("node", "by", "root", "text")
+    rows = rows.join(wanted, ["k", "h"]).select("node", "text")
 
     @quiet
     def run(batches):
         for b in batches:
-            for start, stop in slices(b.column(3)):
+            for start, stop in slices(b.column(1)):
                 part = b.slice(start, stop - start)
-                sets = list(sets_of(part.column(3)))
+                sets = list(sets_of(part.column(1)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:3], pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["node", "by", "root", "size", "set"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                    names=["node", "size", "set"],
                 )
 
-    return rows.mapInArrow(run, "node long, by long, root long, size long, set binary").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, size long, set binary").dropDuplicates(["node"])
 
 
-def links(kept: DataFrame, sets_in) -> DataFrame:
-    """(node, root): components of the join graph, for sets that link.  ``sets_in``
-    makes (node, by, root, size, set) of the sets of some clusters (node, root); ``by``
-    is the node that a set's signatures were kept under."""
+def links(kept: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, root): components of the join graph, for sets that link.  ``kept`` has
+    (sig, node), ``sets`` (node, size, set)."""
     hub = kept.groupBy("sig").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
     clusters = components(kept.join(hub, "sig").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct())
-    sets = shelve(sets_in(clusters))
-    size = sets.groupBy(F.col("root").alias("cluster")).agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
+    placed = cut(sets.select("node", "size").join(clusters, "node").withColumnRenamed("root", "cluster"))
+    size = placed.groupBy("cluster").agg(F.ceil(F.sum("size") / BLOCK).cast("int").alias("blocks"))
     wide = size.filter("blocks > 1")  # a cluster of several blocks holds BLOCK shingles, so these are few
-    placed = sets.select("node", "by", F.col("root").alias("cluster")).join(wide, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.select("node", "cluster").join(wide, "cluster", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sets = sets.select("node", "set")
 
     def side(salt: int):
@@ -340,7 +382,7 @@ def links(kept: DataFrame, sets_in) -> DataFrame:
         # a key of its own, lest the sums be made where the join dealt a whole cluster
         count = some.groupBy(F.struct("cluster", "root").alias("k")).agg(F.count("*").alias("n")).select("k.*", "n")
         main = count.groupBy("cluster").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("pieces")).filter("pieces > 1")
-        return some.join(main, "cluster").select("cluster", "node", "by", "blocks", (F.col("root") != F.col("main")).alias("outside"))
+        return some.join(main, "cluster").select("cluster", "node", "blocks", (F.col("root") != F.col("main")).alias("outside"))
 
     at_home, guest = F.lit(False).alias("guest"), F.lit(True).alias("guest")
     found = _compare(placed.select("cluster", side(0).alias("side"), at_home, "node"), sets)
@@ -351,9 +393,9 @@ def links(kept: DataFrame, sets_in) -> DataFrame:
     again = pieces(classes).select("cluster", side(1).alias("side"), at_home, "node")
     found = cut(found.unionByName(_compare(again, sets)))
     classes = components(found)
-    # a set outside visits the blocks that hold a set with a signature of its own
+    # a set outside visits the blocks that hold a set with a kept shingle of its own
     rest = cut(pieces(classes).withColumn("side", side(0)))
-    signed = kept.select(F.col("node").alias("by"), "sig").join(rest, "by").select("sig", "cluster", "side", "node", "outside")
+    signed = kept.join(rest, "node").select("sig", "cluster", "side", "node", "outside")
     there = signed.groupBy("sig", "cluster").agg(F.collect_set("side").alias("sides"))  # blocks, not sets
     visits = signed.filter("outside").join(there, ["sig", "cluster"]).groupBy("cluster", "node", "side").agg(F.collect_set("sides").alias("sides"))
     visits = visits.select("cluster", "node", F.explode(F.array_remove(F.array_distinct(F.flatten("sides")), F.col("side"))).alias("side"))
@@ -387,15 +429,13 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if answers.filter(F.col("item") == THIN).isEmpty():
             break
         finer *= 2  # some set had too few parts: all are signed again with twice as many
-    kept = cut(_kept(answers))
+    able = _able(answers)
     described = shelve(_described(rows.withColumn("h", F.xxhash64("text"))))
     sets = shelve(_named(described))
-
-    def sets_in(clusters: DataFrame) -> DataFrame:
-        wanted = sets.join(clusters, "node").select("k", "h", F.col("name").alias("node"), F.col("node").alias("by"), "root")
-        return _sets(rows, wanted)
-
-    classes = links(kept, sets_in).withColumnRenamed("node", "name")
+    held = shelve(_sets(rows, sets.join(able, "node").select("k", "h", F.col("name").alias("node"))))
+    ranges = ranges_for(held.agg(F.sum("size")).first()[0] or 0, rows.sparkSession)
+    kept = cut(_kept(answered(_sent_shingles(held, ranges), ranges, counted=True)))
+    classes = links(kept, held).withColumnRenamed("node", "name")
     return described, sets.join(classes, "name", "left").withColumn("class", F.coalesce("root", "name")).drop("name", "root")
 
 

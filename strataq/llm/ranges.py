@@ -14,6 +14,10 @@ Answers travel packed by buckets of items and end as one row (item, names) for e
 item: a key is named by its range and 32 bits of it, or by a second 64-bit hash where
 the sender gives one (``strong``).  Without one, owners may take two keys of a range for
 one and answer too much, never too little.
+
+With ``counted`` every item's entry goes to the owner, and the names that it answers
+have the number of items with the key, as its power of two, in front: in order, they
+start with the rarest.  A hot key then costs its owner 12 bytes an item.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from strataq.llm.workers import quiet
 
 PER_RANGE = 2_000_000  # keys of one range
 FLUSH = 500_000  # keys that a task packs together
+COUNT_AT = 57  # bits of a counted name behind its power of two
 SENT = "part long, body binary"
 
 
@@ -49,8 +54,8 @@ def rows(names: list, bodies: list) -> pa.RecordBatch:
 class Sender:
     """Packs the keys of the items of one task."""
 
-    def __init__(self, ranges: int, strong: bool = False):
-        self.ranges, self.strong = ranges, strong
+    def __init__(self, ranges: int, strong: bool = False, counted: bool = False):
+        self.ranges, self.strong, self.counted = ranges, strong, counted
         self.held: list[tuple] = []
         self.told: list[tuple[int, int]] = []
         self.size = 0
@@ -82,6 +87,8 @@ class Sender:
         first[1:] = (part[1:] != part[:-1]) | (low[1:] != low[:-1]) | (name[1:] != name[:-1])
         other = ~first
         other[1:] &= items[1:] != items[:-1]
+        if self.counted:  # all go to the owner
+            first, other = first | other, np.zeros(len(items), bool)
         at, rest = np.flatnonzero(first), np.flatnonzero(other)
         many = np.add.reduceat(other, at, dtype=np.int64) > 0
         edges = np.flatnonzero(np.diff(part[at], prepend=part[at[0]] + np.uint64(1)))
@@ -108,7 +115,7 @@ def _unpacked(part: int, body: bytes, strong: bool):
     return low, items, many, name
 
 
-def _settled(held: list[tuple], later: bool):
+def _settled(held: list[tuple], later: bool, counted: bool = False):
     """(items, names) that the entries of one range answer."""
     low, items, many, name = (np.concatenate(c) for c in zip(*held))
     order = np.lexsort((items, name, low))
@@ -122,7 +129,12 @@ def _settled(held: list[tuple], later: bool):
         on = items > np.repeat(least, size)
     else:
         on = np.repeat((least != most) | np.logical_or.reduceat(many, at), size)
-    on[1:] &= first[1:] | (items[1:] != items[:-1])
+    new = first.copy()
+    new[1:] |= items[1:] != items[:-1]
+    if counted:
+        power = np.frexp(np.add.reduceat(new, at, dtype=np.int64))[1].astype(np.uint64)
+        name = name | np.repeat(power, size) << np.uint64(COUNT_AT)
+    on &= new
     return items[on], name[on]
 
 
@@ -154,10 +166,11 @@ def _pairs(body: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(body, np.int64, n), np.frombuffer(body, np.uint64, n, 8 * n)
 
 
-def answered(sent: DataFrame, ranges: int, strong: bool = False, later: bool = False) -> DataFrame:
+def answered(sent: DataFrame, ranges: int, strong: bool = False, later: bool = False, counted: bool = False) -> DataFrame:
     """(item, names) from what senders sent, one row for each item with an answer:
     ``names`` packs the different keys that it shares with another item; with ``later``
-    only those that a smaller item has."""
+    only those that a smaller item has; with ``counted``, as the senders have it, they
+    are counted names."""
 
     @quiet
     def own(batches):
@@ -171,7 +184,7 @@ def answered(sent: DataFrame, ranges: int, strong: bool = False, later: bool = F
                     out.add(*_pairs(body))
             yield from out.batches(FLUSH)
         for part in list(held):
-            out.add(*_settled(held.pop(part), later))
+            out.add(*_settled(held.pop(part), later, counted))
             yield from out.batches(FLUSH)
         yield from out.batches()
 

@@ -153,6 +153,44 @@ def test_owners_of_ranges_against_brute_force(spark, strong, later):
     assert len(hot) == 6  # one row, with one entry of the hot key, from each task
 
 
+def test_counted_names_start_with_the_rarest(spark):
+    """Every set hears of its shared keys with the power of two of the sets that have
+    them, a hot one within a task and between tasks."""
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**64, 600, dtype=np.uint64))
+    held, rows = {}, []
+    for task in range(4):
+        sender = ranges.Sender(3, counted=True)
+        for item in range(task * 20, task * 20 + 20):
+            at = np.unique(np.append(rng.choice(len(base), 30), 0))  # key 0 is hot
+            sender.add(item, base[at])
+            for k in at.tolist():
+                held.setdefault(k, set()).add(item)
+        rows += list(zip(*(c.to_pylist() for c in sender.batch().columns)))
+    sent = spark.createDataFrame([(p, bytearray(x)) for p, x in rows], ranges.SENT)
+    got = {(r["item"], n) for r in ranges.answered(sent, 3, counted=True).collect() for n in ranges.unpacked(r["names"]).tolist()}
+    name = [len(held.get(k, ())).bit_length() << 57 | ((int(x) >> 32) * 3 >> 32) << 32 | int(x) & 0xFFFFFFFF for k, x in enumerate(base.tolist())]
+    assert got == {(i, name[k]) for k, items in held.items() for i in items if len(items) > 1}
+    assert len(held[0]) == 80
+
+
+def test_shared_passages_make_no_cluster(spark, docs, monkeypatch):
+    """Pairs of near copies that share passages with others: what the blocks are sent
+    follows the sets, not the sets times the blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 400)
+    sent, compare = [], jaccard._compare
+    monkeypatch.setattr(jaccard, "_compare", lambda placed, sets: sent.append(placed.count()) or compare(placed, sets))
+    rng = random.Random(17)
+    passages = [words(rng, 40) for _ in range(20)]
+    rows = []
+    for i in range(60):
+        text = f"{words(rng, 40)} {' '.join(rng.sample(passages, 2))}"
+        rows += [(2 * i, text), (2 * i + 1, text + " end")]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs(rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+    assert sum(sent) <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("linked", [True, False])
 def test_a_cluster_of_many_blocks(spark, docs, monkeypatch, linked):
     """Documents of one template: either all link in chains, or they share signatures
