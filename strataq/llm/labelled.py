@@ -1,13 +1,25 @@
-"""Bounded labelled samples shared by the two text classifiers."""
+"""Labelled rows shared by the two text classifiers, and sums over their shards."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataq.llm.graph import shelve
+from strataq.llm.workers import quiet
+
 FOLDS, HELD_OUT = 3, 1
+SHARD_ROWS, SHARD_CHARS = 8_000, 16_000_000  # of one shard, about
+SUMMED = 16  # arrays added at once
 SAMPLE_CHARS = 20_000  # longest text taken into a training sample
+PART = "shard long, body binary"
 
 
 def fold(id_col: str = "doc_id"):
@@ -15,6 +27,66 @@ def fold(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS, F.lit(0))
 
 
+def training_rows(docs: DataFrame, labels: DataFrame, target: str, extra: list[str] = []) -> tuple[DataFrame, int]:
+    """All labelled rows outside the held-out fold with their whole texts, as a table
+    (doc_id, y, text, extra, shard), and the number of shards, which follows the size.
+
+    Null ids, labels and texts are left out; an id with several labels counts as its
+    largest; rows that repeat an id count each.
+    """
+    known = (
+        labels.select("doc_id", F.col(target).cast("int").alias("y"))
+        .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & (fold() != HELD_OUT))
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+    )
+    text = F.col("text").cast("string").alias("text")
+    rows = docs.filter(F.col("text").isNotNull() & (fold() != HELD_OUT)).select("doc_id", text, *extra)
+    n, known_n = rows.count(), known.count()
+    chars = (rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0) * known_n / max(1, n)
+    shards = max(1, math.ceil(known_n / SHARD_ROWS), math.ceil(chars / SHARD_CHARS))
+    # one exchange, for the join as for the shards; never a broadcast, so cost is in proportion
+    rows = rows.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id").hint("merge"), "doc_id")
+    return shelve(rows.select("doc_id", "y", "text", *extra, F.pmod(F.hash("doc_id"), F.lit(shards)).alias("shard"))), shards
+
+
+def by_shard(rows: DataFrame, shards: int, make) -> DataFrame:
+    """(shard, body) with the sum of the arrays that ``make`` makes of the shards of a
+    task, each in the order of ids and texts, as numbers of 64 bits."""
+
+    @quiet
+    def run(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            at = b.schema.get_field_index("shard")
+            for k in pc.unique(b.column(at)).to_pylist():
+                held.setdefault(k, []).append(b.filter(pc.equal(b.column(at), k)))
+        total = 0
+        for k in sorted(held):
+            table = pa.Table.from_batches(held.pop(k)).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+            total = total + np.asarray(make(table), np.float64)
+        if isinstance(total, np.ndarray):
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["shard", "body"])
+
+    return shelve(rows.coalesce(shards).mapInArrow(run, PART))
+
+
+def summed(parts: DataFrame, shards: int) -> np.ndarray | None:
+    """Sum of the arrays of (shard, body), some at a time and in the order of shards;
+    the driver sees no more than ``SUMMED`` of them."""
+
+    def add(table: pa.Table) -> pa.Table:
+        bodies = table.sort_by("at").column("body").to_pylist()
+        return pa.table({"shard": table.column("shard").slice(0, 1), "body": pa.array([sum(map(np.frombuffer, bodies)).tobytes()], pa.binary())})
+
+    while shards > SUMMED:
+        group = F.floor(F.col("shard") / SUMMED).cast("long")
+        shards = -(-shards // SUMMED)
+        parts = shelve(parts.select(group.alias("shard"), F.col("shard").alias("at"), "body").repartition(shards, "shard").groupBy("shard").applyInArrow(add, PART))
+    bodies = [bytes(r["body"]) for r in sorted(parts.collect(), key=lambda r: r["shard"])]
+    return sum(map(np.frombuffer, bodies)) if bodies else None
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int], extra: list[str] = []) -> pd.DataFrame:
     """At most ``most[y]`` labelled rows of each class ``y`` outside the held-out
     fold, the first by a hash of the id: columns y, text and ``extra``.

@@ -12,7 +12,7 @@ from helpers import words
 from oracle import DATA
 from pyspark.sql import functions as F
 
-from strataq.llm import bpe, extraction, fingerprint, jaccard, licenses, packing, pages_made, quality, substrings, toxicity
+from strataq.llm import bpe, extraction, fingerprint, jaccard, labelled, licenses, packing, pages_made, quality, substrings, toxicity
 from strataq.llm.dom import Page
 from strataq.llm.labelled import fold
 
@@ -213,6 +213,29 @@ def test_toxicity(spark, docs):
     assert toxicity.score_table(frame.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("shard", [8000, 60])
+def test_toxicity_learns_from_all_labelled_rows(spark, docs, monkeypatch, shard):
+    """All toxic rows are long texts; one shard and several."""
+    monkeypatch.setattr(labelled, "SHARD_ROWS", shard)
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        w = words(rng, 3000 if i % 5 == 0 else rng.randint(5, 60)).split()
+        if i % 5 == 0:
+            for _ in range(4):
+                w.insert(rng.randrange(len(w)), rng.choice(["vilewort", "scumling"]))
+        rows.append((i, " ".join(w), int(i % 5 == 0)))
+    assert min(len(t) for _, t, y in rows if y) > 20_000
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    frame = docs([(i, t) for i, t, _ in rows])
+    kept, shards = labelled.training_rows(frame, labels, "toxic")
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in range(300) if not is_held_out(i)}
+    assert (shards > 1) == (shard < 300)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_table(frame, toxicity.fit(frame, labels)).collect()}
+    held = [got[i] == y for i, _, y in rows if is_held_out(i)]
+    assert sum(held) / len(held) > 0.95
+
+
 def test_convolution_against_loops():
     rng = np.random.default_rng(0)
     texts = ["one two three four", "", None, "word", "a b c d e f g h"]
