@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -18,7 +17,6 @@ from strataq.llm.workers import quiet
 FOLDS, HELD_OUT = 3, 1
 SHARD_ROWS, SHARD_CHARS = 8_000, 16_000_000  # of one shard, about
 SUMMED = 16  # arrays added at once
-SAMPLE_CHARS = 20_000  # longest text taken into a training sample
 PART = "shard long, body binary"
 
 
@@ -85,28 +83,3 @@ def summed(parts: DataFrame, shards: int) -> np.ndarray | None:
         parts = shelve(parts.select(group.alias("shard"), F.col("shard").alias("at"), "body").repartition(shards, "shard").groupBy("shard").applyInArrow(add, PART))
     bodies = [bytes(r["body"]) for r in sorted(parts.collect(), key=lambda r: r["shard"])]
     return sum(map(np.frombuffer, bodies)) if bodies else None
-
-
-def training_sample(docs: DataFrame, labels: DataFrame, target: str, most: dict[int, int], extra: list[str] = []) -> pd.DataFrame:
-    """At most ``most[y]`` labelled rows of each class ``y`` outside the held-out
-    fold, the first by a hash of the id: columns y, text and ``extra``.
-
-    The ids are picked from the labels alone and broadcast (a bounded number), so
-    the documents are read once.  Null ids, labels and texts are left out; an id
-    with several labels counts as its largest.  Texts beyond SAMPLE_CHARS are left
-    out of the sample, which bounds what the driver holds.
-    """
-    known = (
-        labels.select("doc_id", F.col(target).cast("int").alias("y"))
-        .filter(F.col("doc_id").isNotNull() & F.col("y").isin(*most) & (fold() != HELD_OUT))
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picks = None
-    for y, n in most.items():
-        some = known.filter(F.col("y") == y).orderBy(*order).limit(n)
-        picks = some if picks is None else picks.unionByName(some)
-    rows = docs.select("doc_id", "text", *extra).filter(F.length("text") <= SAMPLE_CHARS)
-    got = rows.join(F.broadcast(picks), "doc_id").select("doc_id", "y", "text", *extra).toPandas()
-    return got.sort_values(["doc_id", "text"], kind="stable").drop_duplicates(["doc_id"]).reset_index(drop=True)

@@ -3,10 +3,11 @@
 Terms are hashed words, and how a text is written: the shape of each word (case, digits
 and signs, runs drawn together), pairs of neighbouring shapes, and words that repeat
 their predecessor.  A truncated singular value decomposition of the weighted terms
-of a bounded labelled sample gives the projection.  The labelled vectors (at most
-``sum(MOST)`` of ``RANK`` numbers, under 1 MB) and the projection are broadcast;
-every document is compared with all of them, in blocks, by exact cosine products,
-and its nearest labelled neighbours vote with their similarity.
+of all labelled rows gives the projection.  Up to ``MOST`` rows of a label vote
+themselves; beyond, so many vectors of them, each the mean direction of the labelled rows
+that are nearest to it.  These (under 2 MB) and the projection are broadcast; every
+document is compared with all of them, in blocks, by exact cosine products, and its
+nearest neighbours vote with their similarity.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm.labelled import HELD_OUT, fold, training_sample
+from strataq.llm.graph import shelve
+from strataq.llm.labelled import HELD_OUT, by_shard, fold, summed, training_rows
 from strataq.llm.workers import quiet
 
 SHAPES, PAIRS, WORDS = 2048, 4096, 8192
 TERMS = SHAPES + PAIRS + WORDS + 2  # the last two: a repeated word, a new word
 WORD_WEIGHT = 0.25  # of the words' terms, which are many, against the others'
-MOST = {0: 2000, 1: 2000}  # labelled rows taken for training, by class
+MOST = {0: 2000, 1: 2000}  # vectors that vote, by class
+TURNS = 3  # of the subspace over the shards
 RANK = 48
 NEIGHBOURS = 25
 SHARPNESS = 4  # power of the similarity in a vote
@@ -189,11 +192,109 @@ def train(texts: list[str], labels: np.ndarray, prior: float, seed: int = 3) ->
     return model
 
 
+def _counted(rows: DataFrame) -> DataFrame:
+    """Labelled rows with their terms and counts, packed, in place of their texts."""
+
+    @quiet
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                found = [counts(t) for t in part.column(2).to_pylist()]
+                body = pa.array([terms.astype("<u4").tobytes() + n.astype("<f4").tobytes() for terms, n in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], body, part.column(3)], names=["doc_id", "y", "text", "shard"])
+
+    rows = rows.select("doc_id", "y", "text", "shard")
+    schema = rows.select("doc_id", "y").schema.add("text", "binary").add("shard", rows.schema["shard"].dataType)
+    return shelve(rows.mapInArrow(run, schema))
+
+
+def _weighed(body: bytes, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a packed row and their weights in it."""
+    k = len(body) // 8
+    terms, n = np.frombuffer(body, "<u4", k).astype(np.int64), np.frombuffer(body, "<f4", k, 4 * k).astype(float)
+    return terms, np.sqrt(n / n.sum()) * weight[terms] if k else n
+
+
+def _vectors(bodies: list[bytes], weight: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(bodies), projection.shape[1]))
+    for i, body in enumerate(bodies):
+        terms, x = _weighed(body, weight)
+        out[i] = x @ projection[terms]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-12)
+
+
+def _fit_shards(rows: DataFrame, shards: int, prior: float, seed: int = 3) -> Neighbours:
+    """What ``train`` does, over shards of any number of labelled rows: sums of their
+    products turn the subspace, and every row moves the voting vector next to it."""
+    rows = _counted(rows)
+
+    def over(make) -> np.ndarray:
+        return summed(by_shard(rows, shards, lambda t: make(t.column("text").to_pylist(), t.column("y").to_numpy())), shards)
+
+    def documents(bodies, y) -> np.ndarray:
+        df = np.zeros(TERMS + 1)
+        for body in bodies:
+            df[np.frombuffer(body, "<u4", len(body) // 8)] += 1
+        df[TERMS] = len(bodies)
+        return df
+
+    total = over(documents)
+    df, n = total[:TERMS], total[TERMS]
+    weight = np.where(df > 0, np.log((n + 1) / (df + 0.5)) + 0.3, 0.0)
+    weight[SHAPES + PAIRS : TERMS - 2] *= WORD_WEIGHT
+    basis = np.random.default_rng(seed).normal(size=(TERMS, RANK + 8))
+
+    def turned(bodies, y) -> np.ndarray:
+        out = np.zeros_like(basis)
+        for body in bodies:
+            terms, x = _weighed(body, weight)
+            out[terms] += np.outer(x, x @ basis[terms])
+        return out.ravel()
+
+    def products(bodies, y) -> np.ndarray:
+        out = np.zeros((basis.shape[1], basis.shape[1]))
+        for body in bodies:
+            terms, x = _weighed(body, weight)
+            mine = x @ basis[terms]
+            out += np.outer(mine, mine)
+        return out.ravel()
+
+    for _ in range(TURNS):
+        basis = np.linalg.qr(over(turned).reshape(basis.shape))[0]
+    axes = np.linalg.eigh(over(products).reshape(basis.shape[1], -1))[1][:, ::-1]
+    projection = (basis @ axes)[:, :RANK]
+    picks = [r for y, k in MOST.items() for r in rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(k).select("y", "text").collect()]
+    labels, start = np.array([r["y"] for r in picks], float), _vectors([bytes(r["text"]) for r in picks], weight, projection)
+
+    def moved(bodies, y) -> np.ndarray:
+        out = np.zeros_like(start)
+        for at in range(0, len(bodies), BLOCK):
+            mine, own = _vectors(bodies[at : at + BLOCK], weight, projection), y[at : at + BLOCK]
+            near = np.where(own[:, None] == labels, mine @ start.T, -2.0).argmax(1)
+            np.add.at(out, near, mine)
+        return out.ravel()
+
+    vectors = over(moved).reshape(start.shape)
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.where(norm > 1e-9, vectors / np.maximum(norm, 1e-9), start)
+    return Neighbours(weight, projection, vectors, labels, prior)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Neighbours:
-    """Train on a bounded sample (``MOST``); the prior counts all training labels."""
-    sample = training_sample(docs, labels, "quality", MOST)
+    """Train on all labelled rows outside the held-out fold; the prior counts all
+    training labels."""
+    rows, shards = training_rows(docs, labels, "quality")
     share = labels.filter((fold() != HELD_OUT) & F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
-    return train(sample["text"].tolist(), sample["y"].to_numpy(), 0.5 if share is None else float(share))
+    prior = 0.5 if share is None else float(share)
+    many = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    if shards > 1 or any(many.get(y, 0) > k for y, k in MOST.items()):
+        return _fit_shards(rows, shards, prior)
+    all_rows = sorted(rows.select("doc_id", "text", "y").collect())
+    return train([r["text"] for r in all_rows], np.array([r["y"] for r in all_rows]), prior)
 
 
 def score_table(docs: DataFrame, model: Neighbours, keep: list[str] = ["doc_id"]) -> DataFrame:

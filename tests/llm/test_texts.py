@@ -174,6 +174,20 @@ def test_quality(spark, docs):
     assert quality.score_table(docs(["x"]), none).first()["score"] == 0.5
 
 
+def test_quality_learns_from_all_labelled_rows(spark, docs, monkeypatch):
+    """Bad rows are long texts, and there are more rows than vectors that vote."""
+    monkeypatch.setattr(labelled, "SHARD_ROWS", 80)
+    monkeypatch.setattr(quality, "MOST", {0: 20, 1: 20})
+    rows = [(i, t if y else f"{t} " * (20_001 // len(t) + 1), y) for i, t, y in quality_rows(random.Random(6), 300)]
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    frame = docs([(i, t) for i, t, _ in rows])
+    model = quality.fit(frame, labels)
+    assert sorted(model.labels.tolist()) == [0.0] * 20 + [1.0] * 20 and np.allclose(np.linalg.norm(model.vectors, axis=1), 1)
+    got = {r["doc_id"]: r["predicted"] for r in quality.score_table(frame, model).collect()}
+    held = [got[i] == y for i, _, y in rows if is_held_out(i)]
+    assert sum(held) / len(held) > 0.95
+
+
 def test_quality_votes_are_exact():
     rng = random.Random(1)
     rows = quality_rows(rng, 60)
