@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 from strataq.llm.graph import shelve
 from strataq.llm.workers import quiet
+from strataq.operators.groups import shared_folder
+from strataq.sources.segment import delete
 
 FOLDS, HELD_OUT = 3, 1
 SHARD_ROWS, SHARD_CHARS = 8_000, 16_000_000  # of one shard, about
@@ -66,20 +69,31 @@ def by_shard(rows: DataFrame, shards: int, make) -> DataFrame:
         if isinstance(total, np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["shard", "body"])
 
-    return shelve(rows.coalesce(shards).mapInArrow(run, PART))
+    return rows.coalesce(shards).mapInArrow(run, PART)
 
 
 def summed(parts: DataFrame, shards: int) -> np.ndarray | None:
-    """Sum of the arrays of (shard, body), some at a time and in the order of shards;
-    the driver sees no more than ``SUMMED`` of them."""
+    """Sum of the arrays of (shard, body), about SUMMED at a time; the driver sees one.
+    Tables on the way go when they are added up."""
 
-    def add(table: pa.Table) -> pa.Table:
-        bodies = table.sort_by("at").column("body").to_pylist()
-        return pa.table({"shard": table.column("shard").slice(0, 1), "body": pa.array([sum(map(np.frombuffer, bodies)).tobytes()], pa.binary())})
-
-    while shards > SUMMED:
-        group = F.floor(F.col("shard") / SUMMED).cast("long")
+    @quiet
+    def add(batches):
+        held = sorted((k, body) for b in batches for k, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        if held:
+            total = sum(np.frombuffer(body) for _, body in held)
+            yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["shard", "body"])
+
+    spark, before = parts.sparkSession, None
+    while True:
+        path = f"{shared_folder(spark)}/sums-{uuid.uuid4().hex}"
+        parts.write.parquet(path)
+        if before:
+            delete(spark, before)
+        before, parts = path, spark.read.schema(PART).parquet(path)
+        if shards == 1:
+            break
         shards = -(-shards // SUMMED)
-        parts = shelve(parts.select(group.alias("shard"), F.col("shard").alias("at"), "body").repartition(shards, "shard").groupBy("shard").applyInArrow(add, PART))
-    bodies = [bytes(r["body"]) for r in sorted(parts.collect(), key=lambda r: r["shard"])]
+        parts = parts.coalesce(shards).mapInArrow(add, PART)
+    bodies = [r["body"] for r in parts.collect()]
+    delete(spark, before)
     return sum(map(np.frombuffer, bodies)) if bodies else None

@@ -267,7 +267,8 @@ def _fit_shards(rows: DataFrame, shards: int, prior: float, seed: int = 3) -> Ne
         basis = np.linalg.qr(over(turned).reshape(basis.shape))[0]
     axes = np.linalg.eigh(over(products).reshape(basis.shape[1], -1))[1][:, ::-1]
     projection = (basis @ axes)[:, :RANK]
-    picks = [r for y, k in MOST.items() for r in rows.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(k).select("y", "text").collect()]
+    ids = [rows.filter(F.col("y") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for y, k in MOST.items()]
+    picks = sorted(rows.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect())
     labels, start = np.array([r["y"] for r in picks], float), _vectors([bytes(r["text"]) for r in picks], weight, projection)
 
     def moved(bodies, y) -> np.ndarray:
