@@ -81,19 +81,18 @@ def frame_of_reference(kind: str, n: Column, nulls: Column, width_bits: Column)
     return (F.lit(FOR_HEADER + S.width(kind)) + validity(n, nulls) + _long((n * width_bits + 7) / 8)).cast("long")
 
 
-def choose(kind: str, sizes: dict[str, Column]) -> Column:
+def choose(kind: str | None, sizes: dict[str, Column]) -> Column:
     """Id of the smallest encoding that saves a tenth of the plain size at least;
-    equal sizes go to the lower id; plain if none does."""
+    equal sizes go to the lower id; plain if none does.  Without a kind, encodings that
+    can't hold a chunk have a null size."""
     plain_size = sizes["plain"]
     most = plain_size - _long(plain_size / 10)
-    best, best_size = F.lit(0), None
-    for name, number in sorted(ENCODINGS.items(), key=lambda x: x[1]):
-        if name == "plain" or not supports(name, kind) or name not in sizes:
-            continue
-        size = sizes[name]
-        better = size <= most if best_size is None else (size <= most) & (best_size.isNull() | (size < best_size))
-        best, best_size = F.when(better, number).otherwise(best), F.when(better, size).otherwise(best_size if best_size is not None else F.lit(None).cast("long"))
-    return best.cast("int")
+    able = [(number, sizes[name]) for name, number in ENCODINGS.items() if name != "plain" and name in sizes and (kind is None or supports(name, kind))]
+    if not able:
+        return F.lit(0)
+    # structs compare by size, then by id; array_min passes over those that save too little
+    best = F.array_min(F.array(*[F.when(size <= most, F.struct(size.cast("long").alias("size"), F.lit(number).alias("id"))) for number, size in able]))
+    return F.coalesce(best["id"], F.lit(0)).cast("int")
 
 
 def size_of(chosen: Column, sizes: dict[str, Column]) -> Column:

@@ -31,11 +31,19 @@ def _positions(value: Column, bits: int) -> Column:
 
 def build(df: DataFrame, column: str, bits: int, is_float: bool = False, group: str = GROUP) -> DataFrame:
     """(group, block, bitmap): the bits of each block of BLOCK that some value set.
-    Nulls and NaN are left out; bitmaps merge map-side."""
+    Nulls and NaN are left out."""
     c = F.col(column)
     keep = c.isNotNull() & ~F.isnan(c) if is_float else c.isNotNull()
-    at = df.filter(keep).select(group, F.explode(_positions(_clean(c, is_float), bits)).alias("at"))
-    return at.groupBy(group, F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % BLOCK).alias("bitmap"))
+    # a group's rows come together once; neither its values nor its bitmaps move again
+    values = df.filter(keep).select(group, _clean(c, is_float).alias("v")).repartition(group).distinct()
+    at = values.select(group, _positions(F.col("v"), bits).alias("at"))
+    if bits > BLOCK:
+        one = at.select(group, F.explode("at").alias("at"))
+        return one.groupBy(group, F.floor(F.col("at") / BLOCK).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("at") % BLOCK).alias("bitmap"))
+    # one block holds all: a bitmap for each probe, so that a value is sorted once, not once for each probe
+    each = at.groupBy(group).agg(*[F.bitmap_construct_agg(F.col("at")[i]).alias(f"b{i}") for i in range(PROBES)])
+    each = each.select(group, F.explode(F.array(*[f"b{i}" for i in range(PROBES)])).alias("b"))
+    return each.groupBy(group).agg(F.bitmap_or_agg("b").alias("bitmap")).select(group, F.lit(0).cast("int").alias("block"), "bitmap")
 
 
 def probe(blooms: DataFrame, groups: DataFrame, value: Column, bits: int, is_float: bool = False, group: str = GROUP) -> DataFrame:

@@ -152,56 +152,75 @@ def _of_chunk(column: str, kind: str, suffix: str, on=None) -> list:
     """Aggregates of one column that the sizes need, over the rows that ``on`` holds for;
     ``__brk_<column>`` must be there.  Distinct values are gathered, at most those of a
     row group."""
-    here = F.lit(True) if on is None else on
-    c = F.when(here, F.col(column))
-    out = [F.count_if(here).alias(f"n_{suffix}"), (F.count_if(here) - F.count(c)).alias(f"nulls_{suffix}")]
+    c = F.col(column) if on is None else F.when(on, F.col(column))
+    n = F.count("*") if on is None else F.count_if(on)
+    out = [n.alias(f"n_{suffix}"), (n - F.count(c)).alias(f"nulls_{suffix}")]
     if kind in S.VARIABLE:
         out.append(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias(f"bytes_{suffix}"))
     if Z.supports("dictionary", kind):
         out.append(F.collect_set(c).alias(f"values_{suffix}"))
     if Z.supports("rle", kind):
-        out.append(F.sum(F.when(here, F.col(f"__brk_{column}"))).alias(f"runs_{suffix}"))
+        brk = F.col(f"__brk_{column}")
+        out.append(F.sum(brk if on is None else F.when(on, brk)).alias(f"runs_{suffix}"))
     if Z.supports("for", kind):
         x = c
         if S.is_timestamp(kind) and "ns" not in kind:
             x = F.unix_micros(c if "," in kind else c.cast("timestamp"))
-        x = x.cast("decimal(38,0)")
-        out.append((F.max(x) - F.min(x)).alias(f"spread_{suffix}"))
+        out += [F.min(x).alias(f"low_{suffix}"), F.max(x).alias(f"high_{suffix}")]
     return out
 
 
-def report_all(df: DataFrame, fields: list[tuple[int, str, str, str | None]], sample_rows: int, group: str = GROUP, position: str = POSITION) -> DataFrame:
+def _derived(kind: str, suffix: str) -> list:
+    """What the sizes need of a group's aggregates."""
+    out = [F.col(f"{c}_{suffix}") for c in ("n", "nulls")]
+    if kind in S.VARIABLE:
+        out.append(F.col(f"bytes_{suffix}"))
+    if Z.supports("dictionary", kind):
+        values = F.col(f"values_{suffix}")
+        out.append(F.size(values).cast("long").alias(f"distinct_{suffix}"))
+        if kind in S.VARIABLE:
+            out.append(F.aggregate(values, F.lit(0).cast("long"), lambda total, v: total + F.octet_length(v)).alias(f"dbytes_{suffix}"))
+    if Z.supports("rle", kind):
+        out.append(F.col(f"runs_{suffix}"))
+    if Z.supports("for", kind):
+        low, high = (F.col(f"{c}_{suffix}").cast("decimal(38,0)") for c in ("low", "high"))
+        out.append((high - low).alias(f"spread_{suffix}"))
+    return out
+
+
+def _sized(kind: str, suffix: str) -> list:
+    """The chunk's size in every encoding, null where it can't hold the kind."""
+    sizes = _sizes(kind, suffix, F.col(f"dbytes_{suffix}") if kind in S.VARIABLE else None)
+    return [(sizes[n] if n in sizes else F.lit(None)).cast("long").alias(f"{n}_{suffix[-1]}") for n in Z.ENCODINGS]
+
+
+def report_all(
+    df: DataFrame, fields: list[tuple[int, str, str, str | None]], sample_rows: int, group: str = GROUP, position: str = POSITION, most_rows: int | None = None
+) -> DataFrame:
     """``report`` of several columns, given as (field, column, kind, forced encoding),
-    with a column ``field``: one reading, one window and one aggregation for all."""
+    with a column ``field``: one reading, one window and one aggregation for all, and
+    one choice for the chunks of all.  No group has more than ``most_rows`` rows; where
+    the sample holds as many, it is the whole group and isn't measured again."""
     w = Window.partitionBy(group).orderBy(position)
+    suffixes = "x" if most_rows is not None and most_rows <= sample_rows else "xs"
     marks = [F.row_number().over(w).alias("__k")]
     for _, column, kind, _ in fields:
         if Z.supports("rle", kind):
             same = F.col(column).eqNullSafe(F.lag(column).over(w)) & (F.row_number().over(w) > 1)
             marks.append(F.when(same, 0).otherwise(1).alias(f"__brk_{column}"))
     rows = df.select(group, *[c for _, c, _, _ in fields], *marks)
-    sampled = F.col("__k") <= sample_rows
-    measures = []
-    for field, column, kind, _ in fields:
-        measures += _of_chunk(column, kind, f"{field}_x") + _of_chunk(column, kind, f"{field}_s", sampled)
-    chunks = rows.groupBy(group).agg(*measures)
-    derived = {}
-    for field, _, kind, _ in fields:
-        if Z.supports("dictionary", kind):
-            for suffix in (f"{field}_x", f"{field}_s"):
-                derived[f"distinct_{suffix}"] = F.size(f"values_{suffix}").cast("long")
-                if kind in S.VARIABLE:
-                    derived[f"dbytes_{suffix}"] = F.aggregate(f"values_{suffix}", F.lit(0).cast("long"), lambda total, v: total + F.octet_length(v))
-    chunks = chunks.select(*[c for c in chunks.columns if not c.startswith("values_")], *[c.alias(n) for n, c in derived.items()])
+    sampled = {"x": None, "s": F.col("__k") <= sample_rows}
+    parts = [(column, kind, f"{field}_{t}", sampled[t]) for field, column, kind, _ in fields for t in suffixes]
+    chunks = rows.groupBy(group).agg(*[m for part in parts for m in _of_chunk(*part)])
+    chunks = chunks.select(group, *[d for _, kind, suffix, _ in parts for d in _derived(kind, suffix)])
     each = []
     for field, _, kind, forced in fields:
-        whole, sample = (_sizes(kind, f"{field}_{t}", F.col(f"dbytes_{field}_{t}") if kind in S.VARIABLE else None) for t in "xs")
-        chosen = Z.choose(kind, sample) if forced is None else F.lit(Z.ENCODINGS[forced])
-        kept = Z.fallback(chosen, Z.size_of(chosen, whole), whole["plain"], forced is not None)
-        each.append(
-            F.struct(
-                F.lit(field).alias("field"), F.col(f"n_{field}_x").alias("row_count"), chosen.cast("int").alias("chosen_id"), kept.alias("encoding_id"),
-                Z.size_of(kept, whole).alias("encoded_size"), whole["plain"].alias("plain_size"),
-            )
-        )
-    return chunks.select(group, F.explode(F.array(*each)).alias("e")).select(group, "e.*")
+        given = F.lit(None if forced is None else Z.ENCODINGS[forced]).cast("int").alias("forced")
+        each.append(F.struct(F.lit(field).alias("field"), F.col(f"n_{field}_x").alias("row_count"), given, *[z for t in suffixes for z in _sized(kind, f"{field}_{t}")]))
+    # a row for each chunk before the choice, which is then one expression for all fields
+    e = chunks.select(group, F.explode(F.array(*each)).alias("e")).select(group, "e.*")
+    whole, sample = ({n: F.col(f"{n}_{t}") for n in Z.ENCODINGS} for t in ("x", suffixes[-1]))
+    e = e.withColumn("chosen_id", F.coalesce("forced", Z.choose(None, sample)))
+    unforced = Z.fallback(F.col("chosen_id"), Z.size_of(F.col("chosen_id"), whole), whole["plain"], False)
+    e = e.withColumn("encoding_id", F.coalesce("forced", unforced))
+    return e.select(group, "field", "row_count", "chosen_id", "encoding_id", Z.size_of(F.col("encoding_id"), whole).alias("encoded_size"), F.col("plain_x").alias("plain_size"))

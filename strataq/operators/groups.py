@@ -77,9 +77,9 @@ def violations_between(bounds: DataFrame, first: Sequence[str], last: Sequence[s
 
 def count_violations(df: DataFrame, keys: Sequence[str], group: str = GROUP, position: str = POSITION) -> DataFrame:
     """One row with the number of descents in the whole order."""
-    struct = F.struct(*keys)
-    ends = df.groupBy(group).agg(F.min_by(struct, position).alias("a"), F.max_by(struct, position).alias("z"))
-    bounds = ends.select(group, *[F.col(f"a.{k}").alias(f"__first_{i}") for i, k in enumerate(keys)], *[F.col(f"z.{k}").alias(f"__last_{i}") for i, k in enumerate(keys)])
+    # column by column: a struct in the aggregation's buffer would have all rows sorted
+    ends = [(F.min_by(k, position).alias(f"__first_{i}"), F.max_by(k, position).alias(f"__last_{i}")) for i, k in enumerate(keys)]
+    bounds = df.groupBy(group).agg(*[e for pair in ends for e in pair])
     n = len(keys)
     between = violations_between(bounds, [f"__first_{i}" for i in range(n)], [f"__last_{i}" for i in range(n)], group)
     both = violations_inside(df, keys, group, position).select(F.lit(1).alias("one")).unionAll(between.select(F.lit(1).alias("one")))

@@ -35,8 +35,9 @@ def zone_map(df: DataFrame, schema: S.Schema, layout: Layout, group: str = GROUP
         if is_float:
             out.append(F.coalesce(F.max(F.isnan(c).cast("int")), F.lit(0)).alias(f"nan_{i}"))
     if layout.sort_key:
-        key = F.struct(*[F.col(S.column(i)) for i in layout.sort_key])
-        out += [F.min_by(key, POSITION).alias("first_key"), F.max_by(key, POSITION).alias("last_key")]
+        # column by column: a struct in the aggregation's buffer would have all rows sorted
+        keys = [S.column(i) for i in layout.sort_key]
+        out += [F.struct(*[by(c, POSITION).alias(c) for c in keys]).alias(name) for by, name in ((F.min_by, "first_key"), (F.max_by, "last_key"))]
     return df.groupBy(group).agg(*out)
 
 

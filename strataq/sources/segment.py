@@ -216,7 +216,8 @@ class SegmentWriter:
         began = time.time()
         data = self._stored(f"{self.path}/data")
         relative = F.regexp_extract("path", r"((?:data|index)/.+)$", 1)
-        where = data.select(GROUP, F.input_file_name().alias("path")).groupBy(GROUP).agg(F.min(relative).alias("file"))
+        # distinct first: a text in the aggregation's buffer would have all rows sorted
+        where = data.select(GROUP, F.input_file_name().alias("path")).distinct().groupBy(GROUP).agg(F.min(relative).alias("file"))
         zones.zone_map(data, self.schema, self.layout).join(where, GROUP).write.mode("overwrite").parquet(f"{self.path}/index")
         bits = bloom.bits_for(self.layout.group_rows)
         for i in self.layout.bloom:
@@ -224,7 +225,7 @@ class SegmentWriter:
             built.write.mode("overwrite").parquet(f"{self.path}/bloom_{i}")
         if self.schema.fields:
             fields = [(f.id, S.column(f.id), f.kind, self.layout.forced.get(f.id)) for f in self.schema.fields]
-            encodings.report_all(data, fields, self.layout.sample_rows).write.mode("overwrite").parquet(f"{self.path}/encodings")
+            encodings.report_all(data, fields, self.layout.sample_rows, most_rows=self.layout.group_rows).write.mode("overwrite").parquet(f"{self.path}/encodings")
             self._count(self.spark.read.parquet(f"{self.path}/encodings"))
         files = integrity.file_checksums(self.spark, f"{self.path}/data", f"{self.path}/index")
         files.select(relative.alias("path"), "length", "crc32c").write.mode("overwrite").parquet(f"{self.path}/files")

@@ -6,11 +6,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from strataq.functions import sizes as Z
+from strataq.layout import Layout
+from strataq.operators import bloom, zones
 from strataq.operators import encodings as E
 from strataq.operators import groups as G
 from strataq.operators.bloom import bits_for, build, probe
 from strataq.operators.groups import GROUP, POSITION
 from strataq.plans.scan import literal
+from strataq.schema import Field, Schema
 from strataq.sources.integrity import crc32c
 
 
@@ -132,3 +135,39 @@ def test_the_report_on_all_columns_is_that_on_each(spark):
             assert [mine[c] for c in ("row_count", "chosen_id", "encoding_id", "encoded_size", "plain_size")] == [
                 r[c] for c in ("row_count", "chosen_id", "encoding_id", "encoded_size", "plain_size")
             ], (column, r)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bounds_and_order_are_gathered_without_sorting_rows(spark):
+    schema = Schema(1, (Field(1, "k", "int64", False), Field(2, "l", "int64", False), Field(3, "x", "float64")))
+    df = spark.range(3000).selectExpr("id AS f1", "-id AS f2", "CAST(id AS DOUBLE) AS f3", f"id AS {POSITION}", f"id div 1024 AS {GROUP}")
+    index = zones.zone_map(df, schema, Layout(1024, 1024, (1, 2), (1, 3)))
+    assert "SortAggregate" not in _plan(index)
+    ends = {r[GROUP]: (tuple(r["first_key"]), tuple(r["last_key"])) for r in index.collect()}
+    assert ends == {0: ((0, 0), (1023, -1023)), 1: ((1024, -1024), (2047, -2047)), 2: ((2048, -2048), (2999, -2999))}
+    broken = G.count_violations(df, ["f2", "f1"])
+    assert "SortAggregate" not in _plan(broken) and broken.first()["violations"] == 2999
+
+
+def test_a_report_of_groups_that_the_sample_holds(spark):
+    df = spark.range(700).selectExpr("id AS __pos", "id div 130 AS __rg", "IF(id % 7 = 0, NULL, id div 40 * 1000003) AS f1", "concat('v', id % 9) AS f2", "CAST(id AS DOUBLE) AS f3")
+    fields = [(1, "f1", "int64", None), (2, "f2", "string", "compact"), (3, "f3", "float64", None)]
+    once = E.report_all(df, fields, 130, most_rows=130)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, E.report_all(df, fields, 130).collect()))
+    # each column's values are gathered once, and the choice is one for all columns
+    plan = once._jdf.queryExecution().analyzed().toString()
+    assert plan.count("collect_set(") == 2 and plan.count("array_min(") == 1
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 17])
+def test_bitmaps_hold_the_bits_of_all_probes(spark, bits):
+    values = [None, float("nan"), -0.0, 0.0, *[i % 50 / 4 for i in range(400)]]
+    df = chunk(spark, values, "double", 100).repartition(3)
+    kept = df.filter("x IS NOT NULL AND NOT isnan(x)").select(GROUP, F.explode(bloom._positions(F.col("x") + F.lit(0.0), bits)).alias("at"))
+    want = {(r[GROUP], r["at"]) for r in kept.collect()}
+    built = build(df, "x", bits, True)
+    got = {(r[GROUP], r["block"] * bloom.BLOCK + 8 * k + j) for r in built.collect() for k, b in enumerate(r["bitmap"]) for j in range(8) if b >> j & 1}
+    assert got == want and built.columns == [GROUP, "block", "bitmap"]
