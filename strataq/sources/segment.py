@@ -35,7 +35,9 @@ from strataq.sources import integrity
 FORMAT, INDEX_FORMAT = 1, 1
 MOST_WORKERS = 64
 MOST_LISTED = 100_000  # groups that a frame lists on the driver; beyond, Parquet's own statistics prune
-MOST_RUNS = 200  # ranges of groups in a filter; more are drawn together over the smallest gaps
+MOST_RUNS = 32  # ranges of groups in a filter; more are drawn together over the smallest gaps.  The filter's
+# code has to stay under the 8,000 bytes that the JVM compiles; Parquet's statistics still rule groups in the gaps out
+PIECE_GROUPS = 200  # groups of a piece of a scan after which a gap ends it
 WAVE = 1  # groups that a limit looks at first; twice as many each time
 GROUP_BYTES = 4096  # for a group, beside its values, in the budget of a parallel scan
 
@@ -555,7 +557,7 @@ class ScanResult:
         size = 0
         for x in listed:
             cost = x.rows * per_row + GROUP_BYTES
-            if piece and (size + cost > e.max_bytes / e.in_flight or x.group != piece[-1].group + 1 and len(piece) >= MOST_RUNS):
+            if piece and (size + cost > e.max_bytes / e.in_flight or x.group != piece[-1].group + 1 and len(piece) >= PIECE_GROUPS):
                 yield piece, size
                 piece, size = [], 0
             piece.append(x)

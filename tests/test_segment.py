@@ -1,6 +1,7 @@
 import glob
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import Row
@@ -439,6 +440,20 @@ def test_ranges_of_groups():
     assert len(many) == segment.MOST_RUNS and many[-1] == (5000, 5000) and many[0][0] == 0
 
 
+def test_the_filter_of_scattered_groups_is_compiled(spark, tmp_path):
+    schema = Schema(1, tuple(Field(k, f"c{k}", "int64", k > 1) for k in range(1, 10)))
+    w = SegmentWriter(spark, str(tmp_path / "s"), schema, Layout(4, 1024, (1,), (1,), (2,)))
+    w.append(spark.range(2000).selectExpr("id AS c1", "IF(id div 4 % 2 = 0, 11, id) AS c2", *[f"id * {k} AS c{k}" for k in range(3, 10)]))
+    scan = w.finish().scan(Scan(tuple(range(1, 10)), (Test(2, "eq", 11),)))
+    planned = [x.group for x in scan.planned()]
+    assert len(planned) < 400 and set(range(0, 500, 2)) <= set(planned)
+    rows = scan.unordered()
+    text = spark._jvm.PythonSQLUtils.explainString(rows._jdf.queryExecution(), "codegen")
+    largest = max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text))
+    assert 0 < largest < 8000  # HotSpot interprets larger methods
+    assert sorted(r["c1"] for r in rows.collect()) == [k for k in range(2000) if k // 4 % 2 == 0]
+
+
 def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
     schema, path = Schema(1, (Field(1, "key", "int64", False),)), str(tmp_path / "s")
     rows = lambda *v: spark.createDataFrame([(x,) for x in v], "key long")
